@@ -5,11 +5,13 @@ from __future__ import annotations
 from shelfwise.llm.gif import op6_gif
 from shelfwise.llm.langid import op8_langid
 from shelfwise.llm.packing import op4_packing
+from shelfwise.llm.pieces import op1_sampled_pieces
 from shelfwise.llm.quality_rules import op7_quality_rules
 from shelfwise.llm.simhash import op5_simhash
 from shelfwise.llm.sstable import op10_token_shards
 
 QUERIES = {
+    "op1_sampled_pieces": op1_sampled_pieces,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_gif": op6_gif,
