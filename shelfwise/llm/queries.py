@@ -9,9 +9,11 @@ from shelfwise.llm.pieces import op1_sampled_pieces
 from shelfwise.llm.quality_rules import op7_quality_rules
 from shelfwise.llm.simhash import op5_simhash
 from shelfwise.llm.sstable import op10_token_shards
+from shelfwise.llm.substring_dedup import op3_repeated_passages
 
 QUERIES = {
     "op1_sampled_pieces": op1_sampled_pieces,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_gif": op6_gif,
