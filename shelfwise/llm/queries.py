@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfwise.llm.gif import op6_gif
 from shelfwise.llm.langid import op8_langid
+from shelfwise.llm.line_dedup import op9_line_dedup
 from shelfwise.llm.packing import op4_packing
 from shelfwise.llm.pieces import op1_sampled_pieces
 from shelfwise.llm.quality_rules import op7_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_gif": op6_gif,
     "op7_quality_rules": op7_quality_rules,
     "op8_langid": op8_langid,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_shards": op10_token_shards,
 }
 
