@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfwise.llm.cotraining import op2_cotraining
 from shelfwise.llm.gif import op6_gif
 from shelfwise.llm.langid import op8_langid
 from shelfwise.llm.line_dedup import op9_line_dedup
@@ -14,6 +15,7 @@ from shelfwise.llm.substring_dedup import op3_repeated_passages
 
 QUERIES = {
     "op1_sampled_pieces": op1_sampled_pieces,
+    "op2_cotraining": op2_cotraining,
     "op3_repeated_passages": op3_repeated_passages,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
