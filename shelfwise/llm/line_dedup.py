@@ -21,21 +21,21 @@ from shelfwise.llm.components import connected_components
 #: Lines of fewer characters match when equal only: an edit is a large part of them.
 MIN_CHARS = 20
 EDITS = 1
-_COUNTED = "etaoinsrhl"
+_COUNTED = "etaoin"
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line, line_id) for each line with a word; pos from 0."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("pos", "line"))
-    return lines.filter(F.length(F.translate("line", " \t\n\x0b\f\r", "")) > 0).withColumn("line_id", F.xxhash64("line"))
+    return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("line_id", F.xxhash64("line"))
 
 
 def _letter_counts(line: Column) -> Column:
-    """Counts of ten letters, six bits each; a count stops at 63."""
+    """Counts of the commonest letters, ten bits each; a count stops at 1023."""
     total = F.lit(0).cast("long")
     for i, c in enumerate(_COUNTED):
-        n = F.least((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long"), F.lit(63).cast("long"))
-        total = total + F.shiftleft(n, 6 * i)
+        n = F.least((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long"), F.lit(1023).cast("long"))
+        total = total + F.shiftleft(n, 10 * i)
     return total
 
 
@@ -43,7 +43,7 @@ def _count_gap(a: Column, b: Column) -> Column:
     """Sum of the differences of the packed counts: each edit changes it by 2 at most."""
     total = F.lit(0).cast("long")
     for i in range(len(_COUNTED)):
-        total = total + F.abs(F.shiftrightunsigned(a, 6 * i).bitwiseAND(F.lit(63)) - F.shiftrightunsigned(b, 6 * i).bitwiseAND(F.lit(63)))
+        total = total + F.abs(F.shiftrightunsigned(a, 10 * i).bitwiseAND(F.lit(1023)) - F.shiftrightunsigned(b, 10 * i).bitwiseAND(F.lit(1023)))
     return total
 
 
@@ -153,16 +153,18 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return both.select("a", "b", banded_distance(F.col("ta"), F.col("tb"), edits).alias("distance")).filter(F.col("distance") <= edits)
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(lines: DataFrame, places: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(line_id, class_id, n, first_doc, links) of every line that recurs: equal or linked lines, in any document.
 
+    ``places`` are the (doc_id, pos, line_id) of ``lines``, without the texts.
+
     class_id is the smallest line_id of the class; n counts the class's occurrences, first_doc is
     its smallest doc_id, links the line's own links to different lines.
     """
     links = stored(line_links(lines, edits, min_chars), "line-links")
     named = connected_components(links).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
     degree = links.select(F.col("a").alias("line_id")).union(links.select("b")).groupBy("line_id").agg(F.count("*").alias("links"))
-    counts = lines.groupBy("line_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    counts = places.groupBy("line_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     found = stored(counts.join(named, "line_id", "left").join(degree, "line_id", "left").filter("n > 1 or class_id is not null").select("line_id", F.coalesce("class_id", "line_id").alias("class_id"), "n", "first_doc", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "line-classes")
     whole = found.groupBy("class_id").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
     return found.select("line_id", "class_id", "links").join(whole, "class_id")
@@ -178,7 +180,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     line at the same place of both stays. Null and empty texts have no lines.
     """
     lines = document_lines(docs.filter("doc_id is not null"))
-    found = lines.select("doc_id", "pos", "line_id").join(line_classes(lines, edits, min_chars), "line_id")
+    places = stored(lines.select("doc_id", "pos", "line_id"), "line-places")
+    found = places.join(line_classes(lines, places, edits, min_chars), "line_id")
     by_class = found.groupBy("doc_id", "class_id").agg(F.sort_array(F.collect_set("pos")).alias("places"), F.max("n").alias("n"), F.min("first_doc").alias("first_doc"), F.sum("links").alias("links"))
     removed = F.when(F.col("doc_id") == F.col("first_doc"), F.filter("places", lambda p, i: i > 0)).otherwise(F.col("places"))
     return by_class.select("doc_id", "class_id", "n", "places", removed.alias("removed"), "links")
