@@ -206,7 +206,7 @@ def sample_encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = 1.0
             texts, keys = batch.column(1).to_pylist(), ["" if k is None else str(k) for k in batch.column(0).to_pylist()]
             at = 0
             while at < len(texts):
-                end, room = at, 1 << 21
+                end, room = at, 1 << 20
                 while end < len(texts) and (end == at or room > 0):
                     room -= len(texts[end] or "")
                     end += 1
