@@ -5,7 +5,7 @@ A shard holds the documents of one key range in ascending order::
     block*      zstd(entry*)          entries with prefix-compressed keys, about 256 KiB raw
     index       zstd(per block: first key 9 B, offset u64, size u32, documents u32, crc32 u32)
     bloom       bit array over the keys
-    footer      fixed 76 bytes: places and sizes of index and bloom, counts, id width, magic
+    footer      fixed 72 bytes: places and sizes of index and bloom, counts, id width, magic
 
     entry       shared key bytes u8, own key bytes u8, those bytes, value size varint, value
     key         0x01 + the id as big-endian 64 bits with the sign flipped; 0x00 alone for null
@@ -60,7 +60,7 @@ def _varint(n: int) -> bytes:
 
 
 def _bloom_places(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    """Places of each key by double hashing of its crc32 and adler-like mix."""
+    """Places of each key by double hashing of two checksums."""
     a = np.array([zlib.crc32(k) for k in keys], dtype=np.uint64)
     b = np.array([zlib.crc32(k, 0x9E3779B9) for k in keys], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
