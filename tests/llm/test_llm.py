@@ -339,6 +339,47 @@ def test_repeated_passages(spark, edges):
     assert substring_dedup.repeated_passages(edges).filter("ref_id = doc_id").count() == 0
 
 
+def test_repeated_passages_with_edits(spark):
+    """Passages with words replaced at random are found, whole up to a few words, and nothing beside them."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], {}
+    for size, share in ((60, 0.1), (60, 0.15), (50, 0.05), (100, 0.15), (60, 0.2), (40, 0.1)):
+        for _ in range(60):
+            passage = words(size)
+            edited = list(passage)
+            for i in rng.sample(range(1, size - 1), round(share * size)):
+                edited[i] = words(1)[0]
+            rows += [(len(rows), [*words(60), *passage, *words(60)]), (len(rows) + 1, [*words(60), *edited, *words(60)])]
+            planted[len(rows) - 1] = (size, share)
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    covered = dict.fromkeys(planted, 0)
+    for r in substring_dedup.repeated_passages(table).collect():
+        size, _ = planted[r["doc_id"]]
+        assert r["ref_id"] == r["doc_id"] - 1 and 60 <= r["start"] and r["end"] <= 60 + size and r["edits"] <= 0.2 * size
+        covered[r["doc_id"]] += r["end"] - r["start"]
+    for (size, share), least in {(60, 0.1): 0.95, (60, 0.15): 0.9, (50, 0.05): 0.95, (100, 0.15): 0.95, (60, 0.2): 0.5, (40, 0.1): 0.6}.items():
+        found = [covered[k] > 0 for k, v in planted.items() if v == (size, share)]
+        assert sum(found) >= least * len(found), (size, share, sum(found))
+
+
+def test_widened_against_whole_table():
+    """Without band and drop, the end is where the best of all alignments of two beginnings ends."""
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(12))] for _ in "ab")
+        got = substring_dedup.widened(a, b, band=30, drop=10**6, cost=2)
+        value = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                steps = [0] if i == j == 0 else []
+                steps += [value[i - 1, j] - 2] if i else []
+                steps += [value[i, j - 1] - 2] if j else []
+                steps += [value[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2)] if i and j else []
+                value[i, j] = max(steps)
+        assert value[got] == max(value.values())
+
+
 def test_minimizers_cover_every_window():
     rng = np.random.default_rng(5)
     sizes = np.array([0, 3, 7, 40, 200, 6, 23])
