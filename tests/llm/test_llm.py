@@ -363,6 +363,37 @@ def test_repeated_passages_with_edits(spark):
         assert sum(found) >= least * len(found), (size, share, sum(found))
 
 
+def test_repeated_passages_that_repeat_themselves(spark):
+    """A passage of one phrase over and over keeps its places, also where an earlier document has the phrase fewer times."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    phrase, single = words(9), ["again"] * 120
+    loop = phrase * 12
+    rows = [[*words(40), *phrase * 2, *words(40)], [*words(30), *loop, *words(50)], [*words(45), *loop, *words(20)], [*words(10), *single, *words(9)], [*words(33), *single, *words(8)]]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    covered = {}
+    for r in substring_dedup.repeated_passages(table).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert len(covered[2] & set(range(45, 45 + len(loop)))) >= len(loop) - 10 and len(covered[4] & set(range(33, 153))) >= 110
+    assert set(covered) == {2, 4}
+
+
+@pytest.mark.parametrize("parts", [((0, 25), (25, 50)), ((0, 32), (18, 50)), ((0, 38), (8, 46), (12, 50))])
+def test_repeated_passages_whose_parts_stand_earlier(spark, parts):
+    """Two documents that share a passage meet although other, earlier documents hold parts of it that are too short."""
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(10):
+        passage = words(50)
+        rows += [[*words(50), *passage[s:e], *words(50)] for s, e in parts]
+        rows += [[*words(20), *passage, *words(70)], [*words(60), *passage, *words(10)]]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    step = len(parts) + 2
+    got = {(r["doc_id"], r["ref_id"]): (r["start"], r["end"]) for r in substring_dedup.repeated_passages(table).collect()}
+    assert got == {(i * step + step - 1, i * step + step - 2): (60, 110) for i in range(10)}
+
+
 def test_widened_against_whole_table():
     """Without band and drop, the end is where the best of all alignments of two beginnings ends."""
     rng = random.Random(3)
