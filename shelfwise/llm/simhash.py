@@ -9,8 +9,9 @@ the root of its local class, never all pairs, and the links are joined into comp
 
 ``similar_classes`` serves a similarity of whole texts (Jaccard of word shingles) instead of a
 bit distance. At a similarity of 0.8 fingerprints differ in ten bits on average, so no few
-blocks of bits agree: there, texts share a shard when they agree on a band of shingle minima,
-the BK-tree finds a shard's near fingerprints, and the shingle sets verify each link.
+blocks of bits agree, and repeated shingles move a fingerprint but not the similarity: there,
+texts share a shard when they agree on a band of shingle minima, and the shingle sets alone
+decide on each link.
 
 The shard trees meet their queries by a shuffle on the shard key. Broadcasting them all, as
 the textbook form does, would ship data that grows with the corpus.
@@ -18,6 +19,7 @@ the textbook form does, would ship data that grows with the corpus.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,10 +202,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return fps.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-#: Bands of shingle minima and minima in a band: a pair of similarity 0.8 shares none in one case of 500.
-BANDS, ROWS = 12, 4
-#: Differing bits of 64 beyond which texts of similarity 0.8 (ten bits on average) aren't looked for.
-RADIUS = 20
+#: Bands of shingle minima and minima in a band: a pair of similarity 0.8 shares none in three cases of a million.
+BANDS, ROWS = 24, 4
 _MIX = np.random.default_rng(20240611).integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -231,57 +231,59 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fp, shingles): distinct shingle hashes as binary, ascending."""
+    """(id, shingles): distinct shingle hashes as binary, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            fps = np.array([fingerprint_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
             sets = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], names=["id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, fp long, shingles binary")
+    return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def similarity_links(shards: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b): verified links that join each shard's texts into classes. ``shards`` has shard, id, fp, shingles.
+def _alike(mine: np.ndarray, theirs: np.ndarray, similarity: float) -> bool:
+    if min(len(mine), len(theirs)) < similarity * max(len(mine), len(theirs)):
+        return False
+    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+    return both >= similarity * (len(mine) + len(theirs) - both)
 
-    A text is compared with the nearest fingerprints first, and only with texts that aren't in its
-    class yet: a shard of n copies takes about n comparisons of sets.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, sets, parent, out = None, BKTree(), {}, {}, []
+def similarity_links(shards: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links that join each shard's texts into classes. ``shards`` has shard, id, shingles.
 
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    A text is compared with the members of each class until one is alike, the class's first and
+    then its latest ones: a shard of n copies takes about n comparisons of sets.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, classes, out = None, [], []  # a class is a list of (id, set)
         for batch in batches:
-            for at, own, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != shard:
-                    shard, tree, sets, parent = at, BKTree(), {}, {}
+                    shard, classes = at, []
                 mine = np.frombuffer(raw, dtype="<u4")
-                sets[own], parent[own] = mine, own
-                for _, other in sorted(tree.near_then_add(fp & 0xFFFFFFFFFFFFFFFF, own, radius)):
-                    a, b = top(own), top(other)
-                    theirs = sets[other]
-                    if a == b or min(len(mine), len(theirs)) < similarity * max(len(mine), len(theirs)):
-                        continue
-                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    if both >= similarity * (len(mine) + len(theirs) - both):
-                        parent[max(a, b)] = min(a, b)
+                joined, apart = [], []
+                for members in classes:
+                    other = next((i for i, theirs in itertools.chain(members[:1], members[:0:-1]) if _alike(mine, theirs, similarity)), None)
+                    if other is None:
+                        apart.append(members)
+                    else:
+                        joined.append(members)
                         out.append((own, other))
+                whole = joined[0] if joined else []
+                for members in joined[1:]:
+                    whole += members
+                whole.append((own, mine))
+                classes = [*apart, whole]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out.clear()
 
-    return shards.select("shard", "id", "fp", "shingles").repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long")
+    return shards.select("shard", "id", "shingles").repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): classes of texts whose shingle sets have this Jaccard similarity or more, through any chain.
 
     component_id is the class's smallest id. Texts with the same words are one node, and only texts that
@@ -296,7 +298,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(banded.join(crowded, "shard"), "shards")
     wanted = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     shards = members.join(_shingle_sets(wanted, shingle), "id")
-    links = connected_components(similarity_links(shards, similarity, radius)).select(F.col("node").alias("id"), "component")
+    links = connected_components(similarity_links(shards, similarity)).select(F.col("node").alias("id"), "component")
     by_node = leaders.join(links, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
     found = sketches.select("id", "node").join(by_node, "node").groupBy("id").agg(F.min("component_id").alias("component_id"))
     return found.select(F.col("id").alias("doc_id"), "component_id")

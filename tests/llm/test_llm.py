@@ -411,6 +411,19 @@ def test_widened_against_whole_table():
         assert value[got] == max(value.values())
 
 
+def test_similar_classes_with_unequal_repeats(spark):
+    """Texts of one shingle set but for a few are alike however often one of them repeats a phrase."""
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n, size, times in [(300, 10, 20), (400, 5, 70)] * 15:
+        text, phrase = words(n), words(size)
+        rows += [text + phrase, text + phrase * times]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(table).collect()}
+    assert got == {k: k - k % 2 for k in range(len(rows))}
+
+
 def test_minimizers_cover_every_window():
     rng = np.random.default_rng(5)
     sizes = np.array([0, 3, 7, 40, 200, 6, 23])
