@@ -51,3 +51,28 @@ def words_of(text: Column) -> Column:
 def salted_order(key: Column, seed: int = 0) -> Column:
     """A reproducible pseudo-random order of keys."""
     return F.xxhash64(key.cast("string"), F.lit(seed))
+
+
+def threshold_sample(rows: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
+    """About ``limit`` of the rows at most, chosen by a hash of ``key``; all if there are no more.
+
+    A count gives the threshold, so the rows are picked where they lie: no task and no driver
+    sees more than the sample. Its size differs from the limit by a few square roots of it.
+    """
+    n = rows.count()
+    if n <= limit:
+        return rows
+    return rows.filter(F.pmod(salted_order(F.col(key), seed), F.lit(1 << 40)) < int((1 << 40) * limit / n))
+
+
+def clashing(docs: DataFrame, *names: str) -> list[str]:
+    """Which of the names ``docs`` has, whatever their case."""
+    taken = {c.lower() for c in docs.columns}
+    return [n for n in names if n.lower() in taken]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    while clashing(docs, name):
+        name = f"_{name}"
+    return name
