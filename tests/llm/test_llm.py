@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import cotraining, encoder, gif, langid, line_dedup, packing, pieces, quality_rules, simhash, sstable, substring_dedup
 from shelfwise.llm.components import connected_components
+from tests_llm_helpers import within_one_edit
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -437,8 +439,33 @@ def test_minimizers_cover_every_window():
             assert not places
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_links_against_brute_force(spark, edits):
+def line_facts(table, edits, group):
+    """The links in both directions as classes, and every line's number of links, by line."""
+    all_lines = line_dedup.document_lines(table)
+    names = {r["line_id"]: r["line"] for r in all_lines.collect()}
+    edges, degrees = line_dedup.line_links(all_lines, edits, 20, group)
+    rows = [(names[r["a"]], names[r["b"]]) for r in edges.collect()]
+    return names.values(), classes_of(rows), {names[r["line_id"]]: r["links"] for r in degrees.collect()}, len(rows)
+
+
+def classes_of(pairs):
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        top[root(a)] = root(b)
+    found = {}
+    for x in list(top):
+        found.setdefault(root(x), set()).add(x)
+    return {frozenset(c) for c in found.values()}
+
+
+@pytest.mark.parametrize("edits, group", [(1, 64), (1, 1), (1, 3), (2, 64)])
+def test_line_links_against_brute_force(spark, edits, group):
     rng = random.Random(edits)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(18, 40))) for _ in range(40)]
     lines = set(base) | {"", "short", "shorx"}
@@ -455,12 +482,42 @@ def test_line_links_against_brute_force(spark, edits):
                     del t[i]
             lines.add("".join(t))
     table = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines))], "doc_id long, text string")
-    all_lines = line_dedup.document_lines(table)
-    names = {r["line_id"]: r["line"] for r in all_lines.collect()}
-    got = {(frozenset((names[r["a"]], names[r["b"]])), r["distance"]) for r in line_dedup.line_links(all_lines, edits, 20).collect()}
-    full = [x for x in names.values() if len(x) >= 20]
-    want = {(frozenset((a, b)), d) for a, b in itertools.combinations(full, 2) if (d := levenshtein(a, b)) <= edits}
-    assert got == want and want
+    names, got, degrees, _ = line_facts(table, edits, group)
+    full = [x for x in names if len(x) >= 20]
+    want = [(a, b) for a, b in itertools.combinations(full, 2) if levenshtein(a, b) <= edits]
+    assert want and got == classes_of(want)
+    assert degrees == Counter(x for pair in want for x in pair)
+
+
+def test_crowded_lines_make_no_pairs(spark):
+    """Lines that differ in one character, in one place or anywhere, with insertions: links in proportion to the lines."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    lines = {base[:30] + chr(0x400 + i) + base[31:] for i in range(300)}
+    lines |= {base[:i] + c + base[i + 1 :] for i in range(60) for c in "xyz"} | {base[:i] + c + base[i:] for i in range(60) for c in "xy"} | {base[:i] + base[i + 1 :] for i in range(60)}
+    lines |= {base[:40] + "".join(rng.choice("abcdefgh ") for _ in range(20)) for _ in range(200)}
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(lines))], "doc_id long, text string")
+    names, got, degrees, n = line_facts(table, 1, 8)
+    want = [(a, b) for a, b in itertools.combinations(names, 2) if within_one_edit(a, b)]
+    assert got == classes_of(want) and degrees == Counter(x for pair in want for x in pair)
+    assert len(want) > 45_000 and n < 12 * len(lines)
+
+
+def test_many_lines_in_one_document(spark):
+    lines = [f"line number {i} of very many in this one document, {i * 7919 % 100_003}" for i in range(100_000)]
+    table = spark.createDataFrame([(1, "\n".join(lines[:10])), (2, "\n".join(lines))], "doc_id long, text string").repartition(2)
+    begin = time.monotonic()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(table, min_chars=200).collect()}
+    assert got[2] == "\n".join(lines[10:]) and time.monotonic() - begin < 150  # quadratic work took 350 s
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    """Rows that share an id lose their own lines only, and lines of both stay in both."""
+    rows = [(1, "the first line of all\nkept here"), (2, "some words\nthe first line of all\nends so"), (2, "the first line of all\nother\nsome words"), (3, "ends so"), (3, "ends so"), (4, "not seen"), (4, "not seen")]
+    table = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, `gone` string, `Row` string, kept string")
+    got = Counter((r["doc_id"], r["text"], r["gone"], r["Row"], r["kept"]) for r in line_dedup.without_repeated_lines(table).collect())
+    want = [(1, rows[0][1]), (2, "some words\nends so"), (2, "other\nsome words"), (4, "not seen"), (4, "not seen")]
+    assert got == Counter((*r, "x", "y", "z") for r in want)
 
 
 def test_lines_without_repeats(spark):
