@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -269,9 +270,12 @@ def test_sampled_pieces_are_lossless_and_repeatable(spark, docs, edges):
     assert any(other[r["doc_id"]] != r["ids"] for r in pieces.sample_encode(docs, PIECES, seed=1).collect())
 
 
-def test_segmentations_come_in_proportion():
+@pytest.mark.parametrize("long", [256, 0])
+def test_segmentations_come_in_proportion(long, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", long)
+    monkeypatch.setattr(pieces, "SLICE", 3)
     lattice = pieces.PieceLattice.of(PIECES)
-    word, n = " then", 40000
+    word, n = " then", 40000 if long else 15000
 
     def paths(s):
         if not s:
@@ -287,7 +291,7 @@ def test_segmentations_come_in_proportion():
     got = Counter(tuple(x.tolist()) for x in lattice.sample([word] * n, [str(i) for i in range(n)], 3))
     assert set(got) <= set(share)
     for path, p in share.items():
-        assert abs(got[path] / n - p / whole) < 0.01
+        assert abs(got[path] / n - p / whole) < (0.01 if long else 0.016)
 
 
 def test_long_and_odd_texts_in_the_lattice():
@@ -297,6 +301,19 @@ def test_long_and_odd_texts_in_the_lattice():
         assert lattice.decode(ids).decode() == t
 
 
+def test_a_million_characters_without_a_blank(spark):
+    rng = random.Random(8)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC012/+") for _ in range(1_000_000))
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000)) * 10
+    table = spark.createDataFrame([(1, letters, "x"), (2, chinese, "x"), (3, letters[:300], "x"), (3, letters[:301], "x")], "doc_id long, text string, ids string").repartition(3)
+    begin = time.monotonic()
+    rows = pieces.sample_encode(table, PIECES, seed=2, decoded=True).collect()
+    assert all(r["decoded"] == r["text"] and r["ids_crc32"] == crc(r["ids"]) for r in rows) and len(rows) == 4
+    assert time.monotonic() - begin < 60
+    again = {r["text"]: r["ids"] for r in pieces.sample_encode(table, PIECES, seed=2).collect()}
+    assert all(again[r["text"]] == r["ids"] for r in rows)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -569,6 +586,61 @@ def test_cotraining(spark, edges):
     fit = labels.filter("doc_id % 2 = 0")
     got = cotraining.classify_quality(docs, fit).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) >= 0.95 * len(got)
-    assert cotraining.classify_quality(edges, fit).count() == len(EDGES)
+    # the views see different things: a text alone moves its own view only
+    moved = cotraining.classify_quality(docs.withColumn("text", F.when(F.col("doc_id") == 8, F.lit("!!! BUY NOW !!! " * 50)).otherwise(F.col("text"))), fit)
+    one, other = ({r["doc_id"]: r for r in t.filter("doc_id = 8").collect()}[8] for t in (cotraining.classify_quality(docs, fit), moved))
+    assert abs(one["p_content"] - other["p_content"]) > 0.05 and abs(one["p_meta"] - other["p_meta"]) < 0.05
+    wide = edges.withColumns({"y": F.lit("x"), "held": F.lit("x"), "grams": F.lit("x"), "Meta": F.lit("x")})
+    found = cotraining.classify_quality(wide, fit).collect()
+    assert len(found) == len(EDGES) and len({tuple(r) for r in found if r["doc_id"] == 5}) == 1
+    assert cotraining.classify_quality(docs.select("doc_id", "text"), fit).count() == docs.count()
     flat = cotraining.classify_quality(docs, labels.filter("quality = 1")).agg(F.countDistinct("score")).first()[0]
     assert flat == 1 and cotraining.classify_quality(docs.limit(0), fit).count() == 0
+
+
+def test_cotraining_round_against_brute_force(spark, docs):
+    """What the views count in a round is what a loop over all documents counts."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    features = cotraining.labelled(cotraining.view_features(docs), labels, 30)
+    rows = features.filter("held").toArrow().combine_chunks().to_batches()[0]
+    y = rows.column("y").to_numpy().astype(float)
+    first = cotraining.CoTrained.counted(*cotraining._counts(features, None, 0.95), 0.0).calibrated(rows, y)
+    plain = {r["doc_id"]: r for r in docs.collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = {r["doc_id"] for r in features.filter("held").collect()}
+    assert 10 < len(held) < 60 and held <= set(truth)
+    hasher = cotraining.Hasher()
+    views = {}
+    for k, r in plain.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
+        content = [{int(g) for g in hasher.grams(words)}, [int(s) for s in cotraining.share_slots(np.array([cotraining.surface_shares(r["text"], words)]))[0]], cotraining.surface_shares(r["text"], words)]
+        views[k] = (content, [[s] for s in cotraining.meta_slots(r["source"], r["lang"])])
+
+    def count(label):
+        counts, sizes = np.zeros((2, cotraining.SLOTS)), np.zeros((2, 2))
+        for k, view in views.items():
+            for v in (0, 1):
+                if k not in held and (y := label(k, v)) is not None:
+                    sizes[v, y] += 1
+                    for part in view[v][:2]:
+                        for s in part:
+                            counts[y, s] += 1
+        return counts, sizes
+
+    def odds(model, k, v):
+        weights = (model.content, model.meta)[v]
+        parts = [np.mean([model.ratios[s] for s in part]) for part in views[k][v][:2]] + (views[k][v][2] if v == 0 else [])
+        return sum(w * x for w, x in zip(weights, parts, strict=False)) + weights[-1]
+
+    want = cotraining.CoTrained.counted(*count(lambda k, v: truth.get(k)), 0.0)
+    assert np.allclose(first.ratios, want.ratios)
+
+    def pseudo(k, v):
+        if k in truth:
+            return truth[k]
+        p = 1 / (1 + math.exp(-odds(first, k, 1 - v)))
+        return 1 if p >= 0.6 else 0 if p <= 0.4 else None
+
+    counts, sizes = cotraining._counts(features, first, 0.6)
+    assert all(np.array_equal(a, b) for a, b in zip((counts, sizes), count(pseudo), strict=True))
+    assert sizes.sum() > 2 * len(set(truth) - held)
