@@ -76,3 +76,18 @@ def unused(docs: DataFrame, name: str) -> str:
     while clashing(docs, name):
         name = f"_{name}"
     return name
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_by: str, share: int = 1000, ways: int = 64) -> DataFrame:
+    """Inner join on ``key`` whose hot keys are dealt to ``ways`` tasks each.
+
+    ``right`` is stored, has a key once and in ``weight`` the left rows that have it. Keys with
+    more than one ``share``-th of those rows are hot: fewer than ``share`` keys, whatever the
+    data, so they are broadcast to mark the rows. ``weight`` isn't returned.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(weight) * share > total).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(ways)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot", weight), [key, "_salt"]).drop("_salt")

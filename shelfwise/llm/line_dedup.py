@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored, unused
+from shelfwise.llm.common import salted_join, stored, unused
 from shelfwise.llm.components import connected_components
 
 #: Lines of fewer characters match when equal only: an edit is a large part of them.
@@ -234,20 +234,19 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
 
 def line_classes(lines: DataFrame, places: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
-    """(line_id, class_id, n, first_doc, links) of every line that recurs: equal or linked lines, in any document.
+    """(line_id, class_id, own, n, first_doc, links) of every line that recurs: equal or linked lines, in any document.
 
     ``places`` are the (doc_id, row, pos, line_id) of ``lines``, without the texts.
 
-    class_id is the smallest line_id of the class; n counts the class's occurrences, first_doc is
-    its smallest doc_id, links the line's own links to different lines.
+    class_id is the smallest line_id of the class; own counts the line's occurrences, n the class's,
+    first_doc is its smallest doc_id, links the line's own links to different lines.
     """
     links, degree = line_links(lines, edits, min_chars, group)
     named = connected_components(links).select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
     counts = places.groupBy("line_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     found = stored(counts.join(named, "line_id", "left").join(degree, "line_id", "left").filter("n > 1 or class_id is not null").select("line_id", F.coalesce("class_id", "line_id").alias("class_id"), "n", "first_doc", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "line-classes")
     whole = found.groupBy("class_id").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
-    # stored, so that the join with places reads two plain shuffles and a common line's rows can be split
-    return stored(found.select("line_id", "class_id", "links").join(whole, "class_id"), "line-classes")
+    return stored(found.select("line_id", "class_id", "links", F.col("n").alias("own")).join(whole, "class_id"), "line-classes")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
@@ -262,7 +261,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     """
     lines = document_lines(docs.filter("doc_id is not null"))
     places = stored(lines.select("doc_id", "row", "pos", "line_id"), "line-places")
-    found = places.join(line_classes(lines, places, edits, min_chars, group), "line_id")
+    found = salted_join(places, line_classes(lines, places, edits, min_chars, group), "line_id", "own", "doc_id")
     by_class = found.groupBy("doc_id", "row", "class_id").agg(F.sort_array(F.collect_set("pos")).alias("places"), F.max("n").alias("n"), F.min("first_doc").alias("first_doc"), F.sum("links").alias("links"))
     removed = F.when(F.col("doc_id") == F.col("first_doc"), F.filter("places", lambda p, i: i > 0)).otherwise(F.col("places"))
     return by_class.select("doc_id", "row", "class_id", "n", "places", removed.alias("removed"), "links")

@@ -413,6 +413,66 @@ def test_repeated_passages_whose_parts_stand_earlier(spark, parts):
     assert got == {(i * step + step - 1, i * step + step - 2): (60, 110) for i in range(10)}
 
 
+def test_all_runs_of_forty_words_are_found(spark):
+    """Every run of 43 words or more that an earlier document has is inside the rows' ranges, but for 3 words at its ends."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"].translate(low)) for r in docs.collect() if r["text"]}
+    number = {}
+    texts = {k: [number.setdefault(w, len(number)) for w in words] for k, words in plain.items()}
+    first = {}
+    covered = {}
+    for r in substring_dedup.repeated_passages(docs).collect():
+        assert r["ref_id"] < r["doc_id"] and r["end"] - r["start"] >= 40
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    runs = 0
+    for k in sorted(texts):
+        words, hit = texts[k], []
+        for i in range(len(words) - 42):
+            hit.append(first.setdefault(tuple(words[i : i + 43]), k) < k)
+        i = 0
+        while i < len(hit):
+            if not hit[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(hit) and hit[j]:
+                j += 1
+            runs += 1
+            assert set(range(i + 3, j + 42 - 3)) <= covered.get(k, set()), (k, i, j + 42)
+            i = j
+    assert runs > 50
+
+
+def test_passages_of_repeated_ids_and_clashing_names(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    q = text(60)
+    rows = [(1, text(20) + q), (2, q + text(30)), (2, text(10) + q), (3, text(25) + q), (3, text(5)), (4, q), (4, q), (None, q)]
+    table = spark.createDataFrame([(i, " ".join(w), "x", 1) for i, w in rows], "doc_id long, text string, `_ranges` string, ranges int")
+    found = substring_dedup.repeated_passages(table)
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(tuple(r) for r in substring_dedup.repeated_passages(table.repartition(7)).collect())
+    assert {r[0] for r in got} >= {2, 4} and all(r[3] == 1 for r in got)
+    cut = substring_dedup.cut_passages(table, found)
+    assert cut.columns == table.columns
+    left = Counter((r["doc_id"], len(r["text"].split())) for r in cut.collect())
+    # of both rows with id 2 (and 3) one is taken; both rows with id 4 are equal and go
+    assert left[1, 80] == 1 and left[2, 30] + left[2, 10] == 1 and left[2, 90] + left[2, 70] == 1 and left[4, 60] == 0 and left[None, 60] == 1
+    assert left[3, 5] == 1 and left[3, 85] + left[3, 25] == 1
+    assert substring_dedup.cut_passages(table.limit(0), found).count() == 0
+
+
+def test_parts_in_two_earlier_documents(spark):
+    """Documents 3 and 4 share 76 words of which documents 1 and 2 each have a half."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    q = text(76)
+    rows = [(1, text(100) + q[:38] + text(100)), (2, text(100) + q[38:] + text(100)), (3, text(50) + q + text(70)), (4, text(150) + q + text(20))]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.repeated_passages(table).collect()] == [(4, 150, 226, 3, 50, 126, 0)]
+
+
 def test_widened_against_whole_table():
     """Without band and drop, the end is where the best of all alignments of two beginnings ends."""
     rng = random.Random(3)
