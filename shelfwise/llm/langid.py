@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import salted_order
 
-#: Bounds of the fit: languages, sample documents of each, bytes taken of a document, bytes of a dictionary.
-MAX_LANGUAGES, SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 200, 160, 1024, 96 * 1024
+#: The fit's bounds: sample documents of a language, and bytes taken of each. A dictionary holds their product at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 128, 1024
 BLOCK = 8192
 #: A prediction whose runner-up is less than this share larger is marked as rejected.
 MIN_MARGIN = 0.01
@@ -34,19 +34,31 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split())
 
 
-def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each language of ``docs``: the letters of SAMPLE_DOCS documents at most.
+def sample_window(text: Column, key: Column, chars: int) -> Column:
+    """A window of ``chars`` characters of the text, at a place that a hash of ``key`` gives; a shorter text is taken whole."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(text, F.pmod(salted_order(key, 13), room).cast("int") + 1, F.lit(chars))
 
-    The sample is the first documents by a hash of the id, so it is the same on every run; the
-    driver gets MAX_LANGUAGES x SAMPLE_DOCS x 4 x DOC_BYTES bytes at most. Null languages and texts are left out.
+
+def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """A dictionary for each language of ``docs``: windows of SAMPLE_DOCS documents at most.
+
+    The sample is the first documents by a hash of the id, and a window lies anywhere in its
+    document, by another hash: the same on every run. Every language that occurs is learned; the
+    driver gets 2 x SAMPLE_BYTES characters of SAMPLE_DOCS documents for each. Null languages and
+    texts are left out.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), salted_order(F.col(id_col), 11).alias("h"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
-    langs = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    picked = rows.filter(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("n") <= SAMPLE_DOCS)
-    found: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    for r in picked.select("lang", "n", F.substring("text", 1, 2 * DOC_BYTES).alias("text")).orderBy("lang", "n").collect():
-        found[r["lang"]].append(letters(r["text"])[:DOC_BYTES])
-    return {lang: b" ".join(parts)[:DICT_BYTES] for lang, parts in sorted(found.items()) if any(parts)}
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
+    # a count leaves about three times the sample of each language, wherever it lies: no task sees more
+    counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("all")))  # a row for each language that gets a dictionary
+    order = salted_order(F.col("id"), 11)
+    few = rows.join(counts, "lang").filter(F.pmod(order, F.lit(1 << 40)) * F.col("all") < 3 * sample_docs * float(1 << 40))
+    windows = few.select("lang", order.alias("h"), "id", sample_window(F.col("text"), F.col("id"), 2 * sample_bytes).alias("text"))
+    picked = windows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).filter(F.col("n") <= sample_docs)
+    found: dict[str, list[bytes]] = {}
+    for r in picked.select("lang", "n", "text").orderBy("lang", "n").collect():
+        found.setdefault(r["lang"], []).append(letters(r["text"])[:sample_bytes])
+    return {lang: b" ".join(parts) for lang, parts in sorted(found.items()) if any(parts)}
 
 
 class Classifier:

@@ -259,6 +259,33 @@ def test_language_held_out_accuracy(spark, edges):
     assert {r["lang_pred"] for r in langid.identify(edges, {}).collect()} == {"und"}
 
 
+def test_language_sizes_against_brute_force(spark, docs):
+    """The prediction is the dictionary with the smallest code of the whole text, made by plain calls of the library."""
+    import zstandard as z
+
+    fit = langid.fit_dictionaries(docs, sample_docs=20, sample_bytes=300)
+    how = z.ZstdCompressionParameters(window_log=21, chain_log=17, hash_log=17, search_log=5, min_match=3, target_length=16, strategy=z.STRATEGY_LAZY2, write_content_size=False)
+    rows = langid.identify(docs.withColumns({"score": F.lit("x"), "rejected": F.lit("y")}), fit).collect()
+    assert len(rows) == docs.count() and len(fit) == 4
+    for r in rows:
+        raw = b" " + langid.letters(r["text"]) + b" "
+        sizes = {}
+        for lang, sample in fit.items():
+            one = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(sample, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how)
+            sizes[lang] = sum(len(one.compress(raw[i : i + langid.BLOCK])) for i in range(0, len(raw), langid.BLOCK))
+        least, second = sorted(sizes.values())[:2]
+        assert r["lang_pred"] == min(sizes, key=lambda x: (sizes[x], x))
+        assert r["rejected"] == (round(second / least - 1, 6) < langid.MIN_MARGIN)
+    assert langid.identify(docs.limit(0), fit).count() == 0 and langid.fit_dictionaries(docs.limit(0)) == {}
+
+
+def test_language_samples_come_from_whole_documents(spark):
+    table = spark.createDataFrame([(i, "a" * 3000 + "b" * 3000 + "c" * 3000, f"l{i % 300}") for i in range(600)], "doc_id long, text string, lang string")
+    fit = langid.fit_dictionaries(table, sample_docs=2, sample_bytes=500)
+    assert len(fit) == 300 and {x for sample in fit.values() for x in sample.decode()} == {"a", "b", "c", " "}
+    assert fit == langid.fit_dictionaries(table.repartition(5), sample_docs=2, sample_bytes=500)
+
+
 def test_sampled_pieces_are_lossless_and_repeatable(spark, docs, edges):
     for table in (docs, edges):
         a = pieces.sample_encode(table.repartition(3), PIECES, seed=1)
