@@ -6,10 +6,12 @@ skewed partitions. Range joins meet on a month number first, so they hash instea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import match_score, tokenize
+from shelfwise.functions.text import tokenize
 
 RECEIPT = ["sale_date", "store", "pos_no", "trade_no"]
 
@@ -96,31 +98,61 @@ def months_between(start: Column, end: Column) -> Column:
     return F.sequence(number(start), number(end))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, date: str, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Points joined to the ranges that hold their date.
+def range_join(points: DataFrame, ranges: DataFrame, date: str, start: str = "start_date", end: str = "end_date", keys: Sequence[str] = ()) -> DataFrame:
+    """Points joined to the ranges that hold their date, and have their ``keys`` if any are named.
 
-    Ranges are cut to the points' first and last date before their months are exploded: an end in
-    2099 or 9999 costs nothing. A null date or end matches nothing.
+    Ranges are cut to the points' first and last date (a joined table of one row) before their
+    months are exploded: an end in 2099 or 9999 costs nothing. A null date or end matches nothing.
     """
-    span = points.agg(F.min(date).alias("_low"), F.max(date).alias("_high"))
-    low, high = span.first()
-    if low is None:
-        return points.join(ranges, F.lit(False))
-    kept = ranges.filter((F.col(start) <= F.lit(high)) & (F.col(end) >= F.lit(low)) & (F.col(start) <= F.col(end)))
-    bucketed = kept.withColumn("_month", F.explode(months_between(F.greatest(F.col(start), F.lit(low)), F.least(F.col(end), F.lit(high)))))
+    span = F.broadcast(points.agg(F.min(date).alias("_low"), F.max(date).alias("_high")))
+    kept = ranges.filter(F.col(start) <= F.col(end)).join(span, (F.col(start) <= F.col("_high")) & (F.col(end) >= F.col("_low")))
+    bucketed = kept.withColumn("_month", F.explode(months_between(F.greatest(F.col(start), F.col("_low")), F.least(F.col(end), F.col("_high"))))).drop("_low", "_high")
     dated = points.withColumn("_month", F.year(date) * 12 + F.month(date))
-    return dated.join(bucketed, "_month").filter(F.col(date).between(F.col(start), F.col(end))).drop("_month")
+    return dated.join(bucketed, ["_month", *keys]).filter(F.col(date).between(F.col(start), F.col(end))).drop("_month")
+
+
+def foremost_ranges(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that can be the first to have begun (then the smallest event code) among those of their keys that run on some date.
+
+    A row is left out if one that comes before it by (start, code) ends no sooner. Rows of one
+    start are weighed first, so that no window holds more than the starts of a key.
+    """
+    by_start = [*keys, "start_date"]
+    beside = Window.partitionBy(*by_start).orderBy("event_code").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.filter("start_date <= end_date").withColumn("_seen", F.max("end_date").over(beside)).filter("_seen is null or end_date > _seen").drop("_seen")
+    before = Window.partitionBy(*keys).orderBy("start_date").rowsBetween(Window.unboundedPreceding, -1)
+    starts = first.groupBy(*by_start).agg(F.max("end_date").alias("_end")).withColumn("_before", F.max("_end").over(before)).drop("_end")
+    return first.join(starts, by_start).filter("_before is null or end_date > _before").drop("_before")
+
+
+def name_scores(products: DataFrame, names: DataFrame) -> DataFrame:
+    """(product, event_name, score) with a score above 0: the product's tokens that stand in the name, repeats counted.
+
+    A token meets the names that hold its first two characters, then the whole token is looked for.
+    """
+    tokens = products.select("product", F.explode(tokenize(F.col("product"))).alias("token"))
+    low = F.lower("event_name")
+    grams = names.select("event_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))))).alias("_gram"))
+    known = tokens.select("token").distinct().withColumn("_gram", F.substring(F.lower("token"), 1, 2))
+    hits = known.join(grams, "_gram").filter(F.contains(low, F.lower("token"))).select("token", "event_name")
+    return tokens.join(hits, "token").groupBy("product", "event_name").agg(F.count("*").cast("int").alias("score"))
 
 
 def post_promo_match(mentions: DataFrame, promo: DataFrame) -> DataFrame:
     """The promotion that fits a mention best: it runs on the post's date and shares most tokens with the product.
 
-    Ties go to the earlier start, then to the smaller event code. Mentions without a match have no row.
+    Ties go to the earlier start, then to the smaller event code. Mentions without a match have no
+    row. Names are scored once for each product; of the promotions of one name, and again of those
+    with one score for a product, only the foremost reach the dates. So an open-ended promotion
+    meets few others, and a mention meets the foremost of each score alone.
     """
-    tokens = mentions.withColumn("_tokens", tokenize(F.col("product")))
-    scored = range_join(tokens, promo, "post_date").withColumn("score", match_score(F.col("_tokens"), F.col("event_name"))).filter("score > 0")
-    order = Window.partitionBy("mention_id").orderBy(F.desc("score"), "start_date", "event_code")
-    return scored.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank", "_tokens")
+    asked = mentions.select("post_date", "product").distinct()
+    running = foremost_ranges(promo.select("event_code", "event_name", "start_date", "end_date").distinct(), ["event_name"])
+    scores = name_scores(asked.select("product").distinct(), running.select("event_name").distinct())
+    fits = foremost_ranges(scores.join(running, "event_name"), ["product", "score"])
+    order = Window.partitionBy("product", "post_date").orderBy(F.desc("score"), "start_date", "event_code")
+    best = range_join(asked, fits, "post_date", keys=["product"]).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    return mentions.join(best, ["post_date", "product"])
 
 
 def unmatched_mentions(mentions: DataFrame, matched: DataFrame) -> DataFrame:

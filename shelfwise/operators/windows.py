@@ -112,7 +112,7 @@ def dedupe_keep_first(df: DataFrame, key: str, order: str, drop_null: bool = Fal
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows of each stratum, the first by a hash of the key and the seed."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", key, F.lit(seed)).cast("binary")), key)
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
 
 

@@ -59,15 +59,19 @@ def s5_read_csv_lenient(s, d):
     out = S.scratch_dir(s)
     even = F.col("item_code").cast("int") % 2 == 0
     line = F.concat_ws(",", "item_code", "item_name", F.when(even, F.col("cat_l")), F.when(even, F.lit("extra")))
-    item_master(s, d).select(line.alias("value")).write.text(out)
-    return s.read.schema("item_code string, item_name string, cat_l string").option("mode", "PERMISSIVE").csv(out)
+    # one column with another separator, so that the lines and their header are written as they are
+    item_master(s, d).select(line.alias("item_code,item_name,cat_l")).write.option("header", True).option("sep", "\t").csv(out)
+    return S.read_csv_lenient(s, out, "item_code string, item_name string, cat_l string")
 
 
-@query(sql("items", "SELECT item_code, item_name || ' é' AS item_name FROM items"))
+@query(sql("items", "SELECT CAST(item_code AS BIGINT) AS item_code, item_name || ' 컵라면' AS item_name, CASE WHEN cat_m <> 'Brand#1' THEN cat_m END AS cat_m FROM items"))
 def s6_read_csv_encoded(s, d):
+    """Item names in CP949, which Spark's reader doesn't take."""
     out = S.scratch_dir(s)
-    item_master(s, d).select("item_code", F.concat("item_name", F.lit(" é")).alias("item_name")).write.option("header", True).option("encoding", "ISO-8859-1").csv(out)
-    return S.read_csv_encoded(s, out, "item_code string, item_name string", "ISO-8859-1")
+    name = S.recoded(F.concat("item_name", F.lit(" 컵라면")), "cp949", "iso-8859-1")
+    brand = F.when(F.col("cat_m") != "Brand#1", F.col("cat_m"))
+    item_master(s, d).select("item_code", name.alias("item_name"), brand.alias("cat_m")).write.option("header", True).option("encoding", "ISO-8859-1").csv(out)
+    return S.read_csv_encoded(s, out, "item_code long, item_name string, cat_m string", "CP949")
 
 
 @query(sql("items", "SELECT * FROM items"))
@@ -83,14 +87,12 @@ def s7_convert_new_files(s, d):
     return done.unionByName(I.convert_new_files(s, out, done, ITEM_SCHEMA)).drop("file_path")
 
 
-@query(sql("sales", "SELECT strftime(sale_date, '%Y-%m') AS month, count(*) AS n FROM sales GROUP BY 1"))
+@query(sql("sales", "SELECT strftime(sale_date, '%Y-%m') AS month, count(*) AS n, count(DISTINCT trade_no) AS n_trades FROM sales GROUP BY 1"))
 def s8_read_monthly_folders(s, d):
     out = S.scratch_dir(s)
     lines = sales_lines(s, d).select("trade_no", "item_code", F.date_format("sale_date", "yyyy-MM").alias("m"))
     lines.repartition("m").write.partitionBy("m").option("header", True).csv(out)
-    df = s.read.schema("trade_no string, item_code string").option("header", True).option("recursiveFileLookup", "true").csv(out)
-    month = F.regexp_extract(F.col("_metadata.file_path"), r"/m=(\d{4}-\d{2})/[^/]*$", 1)
-    return df.groupBy(month.alias("month")).agg(F.count("*").alias("n"))
+    return S.read_monthly_folders(s, out, "trade_no string, item_code string").groupBy("month").agg(F.count("*").alias("n"), F.count_distinct("trade_no").alias("n_trades"))
 
 
 @query("SELECT c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, 'none' FROM supplier")
@@ -182,9 +184,9 @@ def t3_reextract(s, d):
     return I.reextract(rows, weak, S.scratch_dir(s), "ord", 1, lower_first, "review_keywords").select("ord", "old_review_keywords", "review_keywords")
 
 
-@query(sql("posts", "SELECT ord, cat_m AS brand, CASE WHEN ord % 11 <> 0 AND ord % 2 = 1 THEN lower(substr(body, 1, 3)) ELSE reply END AS reply FROM posts WHERE len(string_split(body, ' ')) >= 5"))
+@query(sql("posts", "SELECT ord, cat_m AS brand, CASE WHEN ord % 11 <> 0 AND ord % 2 = 1 AND reply IS NOT NULL THEN lower(substr(body, 1, 3)) ELSE reply END AS reply FROM posts"))
 def t4_rerun_multi_product(s, d):
     """Replies with several products are redone, brands as a column."""
-    rows = posts(s, d).filter(F.size(F.split("body", " ")) >= 5).withColumn("text", F.col("body"))
+    rows = posts(s, d).withColumn("text", F.col("body"))
     redone = I.reextract(rows, T.is_multi_product(F.col("reply")), S.scratch_dir(s), "ord", 1, lower_first, "reply")
     return redone.select("ord", F.col("cat_m").alias("brand"), "reply")

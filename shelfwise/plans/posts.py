@@ -33,9 +33,9 @@ def good():
     return T.is_high_quality(*map(F.col, ("body_len", "mean_line_len", "ttr", "num_ratio", "kor_ratio")))
 
 
-@query(sql("posts", "SELECT ord, CASE WHEN t0 = '' THEN '(no title)' WHEN length(t0) > 50 THEN substr(t0, 1, 50) || '...' ELSE t0 END AS title, length(body) - length(split_part(body, chr(10), 1)) - CASE WHEN contains(body, chr(10)) THEN 1 ELSE 0 END AS rest FROM (SELECT *, trim(split_part(body, chr(10), 1)) AS t0 FROM posts)"))
+@query(sql("posts", "SELECT ord, CASE WHEN t0 = '' THEN '(no title)' WHEN length(t0) > 50 THEN substr(t0, 1, 50) || '...' ELSE t0 END AS title, CASE WHEN contains(body, chr(10)) THEN substr(body, length(split_part(body, chr(10), 1)) + 2) ELSE '' END AS rest FROM (SELECT *, trim(split_part(body, chr(10), 1)) AS t0 FROM posts)"))
 def p20_split_caption(s, d):
-    return P.split_caption(posts(s, d)).select("ord", "title", F.length("body").alias("rest"))
+    return P.split_caption(posts(s, d)).select("ord", "title", F.col("body").alias("rest"))
 
 
 @query(sql("posts", "SELECT ord, post_date FROM posts WHERE post_date BETWEEN DATE '1995-03-01' AND DATE '1996-02-01'"))
@@ -115,11 +115,11 @@ def a47_score_distribution(s, d):
     return a.join(b, "score", "full").fillna(0)
 
 
-@query(sql("posts", "SELECT link AS query, arg_min(cat_m, ord) AS cat_m, string_agg(DISTINCT query, ', ' ORDER BY query) AS links, count(DISTINCT query) AS n_links, length(string_agg(body, ' | ' ORDER BY ord)) AS merged_len FROM posts GROUP BY 1"))
+@query(sql("posts", "SELECT link AS query, arg_min(cat_m, ord) AS cat_m, string_agg(DISTINCT query, ', ' ORDER BY query) AS links, count(DISTINCT query) AS n_links, string_agg(body, ' | ' ORDER BY ord) FILTER (trim(body) <> '') AS merged FROM posts GROUP BY 1"))
 def a53_merge_posts_by_query(s, d):
     rows = posts(s, d).select(F.col("link").alias("key"), "ord", "cat_m", "query", "body")
     merged = A.merge_by_key(rows, "key", "ord", "cat_m", "query", "body", " | ")
-    return merged.select(F.col("key").alias("query"), "cat_m", F.array_join(F.sort_array(F.split("links", ", ")), ", ").alias("links"), "n_links", F.length("merged").alias("merged_len"))
+    return merged.select(F.col("key").alias("query"), "cat_m", F.array_join(F.sort_array(F.split("links", ", ")), ", ").alias("links"), "n_links", "merged")
 
 
 @query(sql("posts", FEATURES + f"SELECT query, count(*) AS total, count_if({GOOD}) AS survived, count_if(NOT ({GOOD})) AS dropped, round(100 * count_if({GOOD}) / count(*), 2) AS rate FROM f GROUP BY 1"))
@@ -195,9 +195,9 @@ def a63_percentile_bands(s, d):
     return A.percentile_bands(rows, "n", F.contains("body", F.lit("the")), CUTS)
 
 
-@query(sql("krows", f"SELECT ord, len({HK}) AS old, len({KW}) AS new, len({KW}) - len({HK}) AS gain FROM krows WHERE ord % 2 = 0"))
+@query(sql("krows", f"SELECT ord, len({HK}) AS old, len({KW}) AS new, len({KW}) - len({HK}) AS gain FROM krows"))
 def a64_old_new_gain(s, d):
-    rows = keyword_rows(s, d).filter("ord % 2 = 0").select("ord", T.keyword_count(F.col("hin_keywords")).alias("old"), T.keyword_count(F.col("review_keywords")).alias("new"))
+    rows = keyword_rows(s, d).select("ord", T.keyword_count(F.col("hin_keywords")).alias("old"), T.keyword_count(F.col("review_keywords")).alias("new"))
     return rows.withColumn("gain", F.col("new") - F.col("old"))
 
 
@@ -237,10 +237,9 @@ def w17_dedupe_keep_first(s, d):
     return W.dedupe_keep_first(posts(s, d), "link", "ord").select("link", "ord")
 
 
-@query(sql("posts", "SELECT cat_m, least(count(*), 5) AS n FROM posts GROUP BY 1"))
+@query(sql("posts", "SELECT cat_m, ord FROM posts QUALIFY row_number() OVER (PARTITION BY cat_m ORDER BY md5(ord || ':42'), ord) <= 5"))
 def w18_stratified_sample(s, d):
-    """The sampled rows' number per class: which rows is a matter of the hash."""
-    return A.value_counts(W.stratified_sample(posts(s, d), "cat_m", "ord", 5, 42), "cat_m")
+    return W.stratified_sample(posts(s, d), "cat_m", "ord", 5, 42).select("cat_m", "ord")
 
 
 @query(sql("posts", FEATURES + "SELECT ord FROM f WHERE " + " AND ".join(f"({c} < (SELECT quantile_cont({c}, 0.05) FROM f) OR {c} > (SELECT quantile_cont({c}, 0.95) FROM f))" for c in ("body_len", "kor_ratio"))))
@@ -287,10 +286,10 @@ def f6_quality_tag(s, d):
     return features(s, d).select("ord", tag().alias("tag"))
 
 
-@query(sql("posts", "SELECT ord, md5(substr(trim(regexp_replace(replace(regexp_replace('#' || cat_m || ' @' || cat_m || '_x ' || body, '@[\\w.]+', '', 'g'), '#', ''), '\\s+', ' ', 'g')), 1, 500)) AS h FROM posts WHERE NOT contains(body, '@')"))
+@query(sql("posts", "SELECT ord, md5(substr(trim(regexp_replace(replace(regexp_replace('#' || cat_m || ' @' || cat_m || '_x ' || body, '@[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}.]+', '', 'g'), '#', ''), '\\s+', ' ', 'g')), 1, 500)) AS h FROM posts"))
 def f7_clean_post_text(s, d):
     cleaned = T.clean_post_text(F.concat(F.lit("#"), "cat_m", F.lit(" @"), "cat_m", F.lit("_x")), F.col("body"))
-    return posts(s, d).filter(~F.contains("body", F.lit("@"))).select("ord", F.md5(cleaned.cast("binary")).alias("h"))
+    return posts(s, d).select("ord", F.md5(cleaned.cast("binary")).alias("h"))
 
 
 @query(sql("posts", "SELECT ord, CASE WHEN length(t) < 100 THEN '' ELSE t END AS t FROM (SELECT ord, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 300) AS t FROM posts)"))
@@ -298,20 +297,20 @@ def f8_clean_blog_text(s, d):
     return posts(s, d).select("ord", T.clean_blog_text(F.col("body"), 300).alias("t"))
 
 
-@query(sql("posts", "SELECT ord, CASE WHEN contains(body, q) THEN q END AS word FROM (SELECT ord, body, split_part(body, ' ', 3) AS q FROM posts WHERE regexp_matches(split_part(body, ' ', 3), '^[a-z]+$'))"))
+@query(sql("posts", "SELECT ord, CASE WHEN contains(body, q) THEN nullif(q, '') END AS word FROM (SELECT ord, body, split_part(body, ' ', 3) AS q FROM posts)"))
 def f15_keyword_in_body(s, d):
     q = F.split_part("body", F.lit(" "), F.lit(3))
-    return posts(s, d).filter(q.rlike("^[a-z]+$")).select("ord", T.keyword_in_body(F.col("body"), q).alias("word"))
+    return posts(s, d).select("ord", T.keyword_in_body(F.col("body"), q).alias("word"))
 
 
-@query(sql("posts", "+st AS (SELECT ord, list_filter(list_transform(regexp_split_to_array(body, '[\\n。!?！？]+'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM posts), h AS (SELECT ord, ss, list_position(list_transform(ss, lambda x: contains(x, 'the ')), true) AS i FROM st) SELECT ord, CASE WHEN coalesce(i, 0) = 0 THEN 0 ELSE length(array_to_string(ss[greatest(1, i - 2):i + 2], ' / ')) + 2 END AS n FROM h"))
+@query(sql("posts", "+st AS (SELECT ord, list_filter(list_transform(regexp_split_to_array(body, '[\\n。!?！？]+'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM posts), h AS (SELECT ord, ss, list_position(list_transform(ss, lambda x: contains(x, 'the ')), true) AS i FROM st) SELECT ord, CASE WHEN coalesce(i, 0) = 0 THEN '' ELSE array_to_string(list_transform(ss, lambda x, j: CASE WHEN j = i THEN '▶ ' || x ELSE x END)[greatest(1, i - 2):i + 2], ' / ') END AS context FROM h"))
 def f16_sentence_context(s, d):
-    return posts(s, d).select("ord", F.length(T.sentence_context(F.col("body"), F.lit("the "))).alias("n"))
+    return posts(s, d).select("ord", T.sentence_context(F.col("body"), F.lit("the ")).alias("context"))
 
 
-@query(sql("posts", "SELECT ord, (ord % 11 <> 0 AND ord % 2 = 1 AND ord % 3 <> 2) AS promo FROM posts WHERE len(string_split(body, ' ')) >= 5"))
+@query(sql("posts", "SELECT ord, (reply IS NOT NULL AND ord % 11 <> 0 AND ord % 2 = 1 AND ord % 3 <> 2) AS promo FROM posts"))
 def f18_is_promo_post(s, d):
-    return posts(s, d).filter(F.size(F.split("body", " ")) >= 5).select("ord", T.is_promo_post(F.col("reply"), F.lit(""), F.lit("")).alias("promo"))
+    return posts(s, d).select("ord", T.is_promo_post(F.col("reply"), F.lit(""), F.lit("")).alias("promo"))
 
 
 @query(sql("krows", f"SELECT ord, len({KW}) AS n FROM krows"))
@@ -330,9 +329,9 @@ def f21_needs_reextract(s, d):
     return keyword_rows(s, d).filter(T.needs_reextract(F.col("review_keywords"), F.col("hin_keywords"), F.col("body"))).select("ord")
 
 
-@query(sql("posts", "SELECT ord, CASE WHEN ord % 11 = 0 THEN 0 ELSE 4 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END END AS n FROM posts WHERE len(string_split(body, ' ')) >= 5"))
+@query(sql("posts", "SELECT ord, CASE WHEN ord % 11 = 0 OR reply IS NULL THEN 0 ELSE 4 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END END AS n FROM posts"))
 def f22_structured_keyword_count(s, d):
-    return posts(s, d).filter(F.size(F.split("body", " ")) >= 5).select("ord", T.structured_keyword_count(F.col("reply")).alias("n"))
+    return posts(s, d).select("ord", T.structured_keyword_count(F.col("reply")).alias("n"))
 
 
 @query(sql("posts", REPLIES + "SELECT ord, js FROM rj"))
@@ -354,9 +353,9 @@ def f25_bin_length(s, d):
     return posts(s, d).select("ord", T.bin_length(F.length("body"), [0, 200, 1000, 5000]).alias("bin"))
 
 
-@query(sql("posts", "SELECT ord FROM posts WHERE ord % 11 <> 0 AND ord % 2 = 1 AND len(string_split(body, ' ')) >= 5"))
+@query(sql("posts", "SELECT ord FROM posts WHERE ord % 11 <> 0 AND ord % 2 = 1 AND reply IS NOT NULL"))
 def f26_is_multi_product(s, d):
-    return posts(s, d).filter((F.size(F.split("body", " ")) >= 5) & T.is_multi_product(F.col("reply"))).select("ord")
+    return posts(s, d).filter(T.is_multi_product(F.col("reply"))).select("ord")
 
 
 @query(sql("app", "SELECT event_time, device_id, json_extract_string(replace(event_value, '\"\"', '\"'), '$.k') AS k FROM app"))

@@ -21,10 +21,9 @@ def with_cats(s, d):
     return J.promo_with_category(promotions(s, d), item_master(s, d))
 
 
-@query(sql("items promo", "+pl AS (SELECT item_code, string_agg(DISTINCT event_name, ', ' ORDER BY event_name) AS promo_list FROM promo WHERE start_date < DATE '1995-06-01' GROUP BY 1) SELECT item_code, item_name || ', ' || cat_l || ', ' || CASE WHEN promo_list <> '' THEN 'promotions: ' || promo_list ELSE 'no promotion' END AS description FROM items LEFT JOIN pl USING (item_code)"))
+@query(sql("items promo", "+pl AS (SELECT item_code, string_agg(DISTINCT event_name, ', ' ORDER BY event_name) AS promo_list FROM promo GROUP BY 1) SELECT item_code, item_name || ', ' || cat_l || ', ' || CASE WHEN promo_list <> '' THEN 'promotions: ' || promo_list ELSE 'no promotion' END AS description FROM items LEFT JOIN pl USING (item_code)"))
 def p14_conditional_text(s, d):
-    early = promotions(s, d).filter("start_date < date'1995-06-01'")
-    return P.conditional_text(J.items_with_promo_text(item_master(s, d), early)).select("item_code", "description")
+    return P.conditional_text(J.items_with_promo_text(item_master(s, d), promotions(s, d))).select("item_code", "description")
 
 
 DERIVED = "+k AS (SELECT DISTINCT event_kind FROM promo WHERE event_form IS NOT NULL), dv AS (SELECT event_code, item_code, replace(list_extract(string_split(CASE WHEN event_kind IN (SELECT event_kind FROM k) THEN event_form ELSE event_kind END, ' : '), -1), ' ', '') AS promo_type, event_price, discount_price, event_name, start_date FROM promo) "
@@ -76,27 +75,24 @@ def j10_promo_with_category(s, d):
     return with_cats(s, d).select("event_code", "item_code", "cat_l", "cat_m")
 
 
-@query(sql("items promo sales", CATS + "SELECT event_code, item_code, cat_m FROM pc WHERE item_code IN (SELECT item_code FROM sales WHERE qty > 45) AND cat_m IN ('Brand#1', 'Brand#2')"))
+@query(sql("items promo sales", CATS + "SELECT event_code, item_code, cat_m FROM pc WHERE item_code IN (SELECT item_code FROM sales WHERE qty > 0) AND cat_m IN ('Brand#1', 'Brand#2')"))
 def j11_promo_in_scope(s, d):
     targets = s.createDataFrame([("Brand#1",), ("Brand#2",)], "cat_m string")
-    return J.promo_in_scope(with_cats(s, d), sales_lines(s, d).filter("qty > 45"), targets).select("event_code", "item_code", "cat_m")
+    return J.promo_in_scope(with_cats(s, d), sales_lines(s, d).filter("qty > 0"), targets).select("event_code", "item_code", "cat_m")
 
 
-MENTIONS = "+mt AS (SELECT o_orderkey AS mention_id, CAST(o_orderdate AS DATE) AS post_date, p_name AS product FROM orders JOIN part ON p_partkey = o_orderkey % 200 WHERE o_orderkey % 50 = 3), cp AS (SELECT DISTINCT event_code, event_name, start_date, CASE WHEN year(end_date) >= 9000 THEN DATE '2099-12-31' ELSE end_date END AS end_date FROM promo WHERE promo_type = 'A' AND event_kind LIKE '2%' AND event_price % 5 = 0), tk AS (SELECT *, list_filter(string_split(product, ' '), lambda t: length(t) >= 2) AS toks FROM mt), sc AS (SELECT mention_id, post_date, product, event_code, event_name, start_date, len(list_filter(toks, lambda t: contains(lower(event_name), lower(t)))) AS score FROM tk JOIN cp ON post_date BETWEEN start_date AND end_date), best AS (SELECT mention_id, event_code, event_name, CAST(score AS INTEGER) AS score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, start_date, event_code) = 1) "
+MENTIONS = "+mt AS (SELECT o_orderkey AS mention_id, CAST(o_orderdate AS DATE) AS post_date, p_name AS product FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey), cp AS (SELECT DISTINCT event_code, event_name, start_date, CASE WHEN year(end_date) >= 9000 THEN DATE '2099-12-31' ELSE end_date END AS end_date FROM promo), nm AS (SELECT product, event_name, len(list_filter(list_filter(string_split(product, ' '), lambda t: length(t) >= 2), lambda t: contains(lower(event_name), lower(t)))) AS score FROM (SELECT DISTINCT product FROM mt), (SELECT DISTINCT event_name FROM cp)), sc AS (SELECT post_date, product, arg_min({'event_code': event_code, 'event_name': event_name, 'score': score}, (-score, start_date, event_code)) AS b FROM (SELECT DISTINCT post_date, product FROM mt) JOIN cp ON post_date BETWEEN start_date AND end_date JOIN nm USING (product, event_name) WHERE score > 0 GROUP BY 1, 2), best AS (SELECT mention_id, b.event_code AS event_code, b.event_name AS event_name, CAST(b.score AS INTEGER) AS score FROM mt JOIN sc USING (post_date, product)) "
 
 
 def mentions(s, d):
-    """Products that orders name: the source's stand-in for posts, a selection by business key."""
-    orders, part = s.read.parquet(f"{d}/orders.parquet"), s.read.parquet(f"{d}/part.parquet")
-    return orders.join(part, F.col("p_partkey") == F.col("o_orderkey") % 200).select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderdate").cast("date").alias("post_date"), F.col("p_name").alias("product"))
-
-
-MENTIONS = MENTIONS.replace(" WHERE o_orderkey % 50 = 3)", ")").replace(" AND event_price % 5 = 0", "")
+    """What posts say: the product of an order's first line, on the order's date."""
+    orders, lines, part = (s.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem", "part"))
+    first = lines.filter("l_linenumber = 1").join(part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_name")
+    return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderdate").cast("date").alias("post_date"), F.col("p_name").alias("product"))
 
 
 def matched(s, d):
-    promo = P.cap_end_date(promotions(s, d).filter("promo_type = 'A' and event_kind like '2%'")).select("event_code", "event_name", "start_date", "end_date").distinct()
-    return J.post_promo_match(mentions(s, d), promo)
+    return J.post_promo_match(mentions(s, d), P.cap_end_date(promotions(s, d)))
 
 
 @query(sql("promo", MENTIONS + "SELECT * FROM best"))
@@ -116,9 +112,9 @@ def w15_best_match(s, d):
     return best.filter("score >= 2").unionByName(best).groupBy("mention_id").agg(F.max("score").alias("score"))
 
 
-@query(sql("items promo", CATS + "SELECT cat_m, n_whole, coalesce(n_part, 0) AS n_part, round(100 * coalesce(n_part, 0) / n_whole, 2) AS pct FROM (SELECT cat_m, count(DISTINCT item_code) AS n_whole FROM items GROUP BY 1) LEFT JOIN (SELECT cat_m, count(DISTINCT item_code) AS n_part FROM pc WHERE promo_type = 'R' AND event_kind LIKE '2%' GROUP BY 1) USING (cat_m)"))
+@query(sql("items promo", CATS + "SELECT cat_m, n_whole, coalesce(n_part, 0) AS n_part, round(100 * coalesce(n_part, 0) / n_whole, 2) AS pct FROM (SELECT cat_m, count(DISTINCT item_code) AS n_whole FROM items GROUP BY 1) LEFT JOIN (SELECT cat_m, count(DISTINCT item_code) AS n_part FROM pc GROUP BY 1) USING (cat_m)"))
 def j18_coverage_by_category(s, d):
-    return J.coverage_by_category(with_cats(s, d).filter("promo_type = 'R' and event_kind like '2%'"), item_master(s, d), "cat_m")
+    return J.coverage_by_category(with_cats(s, d), item_master(s, d), "cat_m")
 
 
 @query(sql("promo", "+q AS (SELECT quantile_cont(event_price, 0.99) AS p, quantile_cont(cost, 0.99) AS c FROM promo) SELECT 'start_date' AS \"column\", 'date' AS kind, count_if(NOT year(start_date) BETWEEN 1996 AND 2000) AS n FROM promo UNION ALL SELECT 'end_date', 'date', count_if(NOT year(end_date) BETWEEN 1996 AND 2000) FROM promo UNION ALL SELECT 'event_price', 'number', count_if(event_price <= 0 OR event_price > 10 * p) FROM promo, q UNION ALL SELECT 'cost', 'number', count_if(cost <= 0 OR cost > 10 * c) FROM promo, q UNION ALL SELECT 'basis', 'text', count_if(basis IN ('-', 'N/A', '0', '?')) FROM promo"))

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -49,18 +51,37 @@ def read_csv_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
+#: Character sets that Spark's CSV reader takes.
+SPARK_CHARSETS = {"UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "ISO-8859-1", "US-ASCII"}
+
+
+def recoded(c: Column, source: str, target: str) -> Column:
+    """Texts whose bytes in one character set are read in another; what doesn't fit is replaced. Null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t.encode(source, "replace").decode(target, "replace"), na_action="ignore")
+
+    return run(c)
+
+
 def read_csv_encoded(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """CSV in another character set. Spark reads UTF-8, UTF-16, ISO-8859-1 and US-ASCII itself; others (such
-    as CP949) need its legacy charsets, which this turns on for the session."""
-    if encoding.upper() not in {"UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "ISO-8859-1", "US-ASCII"}:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).csv(path)
+    """CSV in another character set: one that Spark reads, or any whose multi-byte characters hold no separator or quote.
+
+    Those (such as CP949) are split as bytes and decoded afterwards, column by column; bad bytes become U+FFFD.
+    """
+    reader = spark.read.option("header", True)
+    if encoding.upper() in SPARK_CHARSETS:
+        return reader.schema(schema).option("encoding", encoding).csv(path)
+    fields = StructType.fromDDL(schema).fields
+    raw = reader.schema(StructType([StructField(f.name, StringType()) for f in fields])).option("encoding", "ISO-8859-1").csv(path)
+    return raw.select(*[recoded(F.col(f"`{f.name}`"), "iso-8859-1", encoding).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_monthly_folders(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """CSV under month folders such as 2025-03; adds month from the path."""
+    """CSV under month folders such as 2025-03 (or month=2025-03, as Spark writes them); adds month from the path."""
     df = spark.read.schema(schema).option("header", True).csv(f"{root}/*/*.csv")
-    return df.withColumn("month", F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2})/[^/]*$", 1))
+    return df.withColumn("month", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?(\d{4}-\d{2})/[^/]*$", 1))
 
 
 def union_sources(dfs: Sequence[DataFrame], defaults: dict[str, object]) -> DataFrame:

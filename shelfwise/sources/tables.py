@@ -73,8 +73,8 @@ def app_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_map(spark: SparkSession, d: str) -> DataFrame:
-    """Online item codes of the first 80 items: some event codes have no item."""
-    part = _table(spark, d, "part").filter("p_partkey < 80")
+    """Online item codes of all items; codes that events name and no item has stay unmatched."""
+    part = _table(spark, d, "part")
     return part.select(F.col("p_partkey").cast("string").alias("pos_item_code"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("online_item_code"), F.col("p_type").alias("category_l"), F.col("p_brand").alias("category_m"), F.col("p_name").alias("item_name"), F.col("p_retailprice").cast("string").alias("price"))
 
 
@@ -144,7 +144,7 @@ CTES = {
     "app": """app AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, event_type AS event_name, replace(props, '"', '""') AS event_value, 'media' || user_id % 5 AS media_source,
         'camp' || event_id % 7 AS campaign, CASE WHEN user_id % 2 = 0 THEN 'android' ELSE 'ios' END AS platform, CAST(user_id AS VARCHAR) AS device_id,
         CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN '참' ELSE 'false' END AS is_primary FROM events)""",
-    "imap": "imap AS (SELECT CAST(p_partkey AS VARCHAR) AS pos_item_code, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS online_item_code, p_type AS category_l, p_brand AS category_m, p_name AS item_name FROM part WHERE p_partkey < 80)",
+    "imap": "imap AS (SELECT CAST(p_partkey AS VARCHAR) AS pos_item_code, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS online_item_code, p_type AS category_l, p_brand AS category_m, p_name AS item_name FROM part)",
     "posts": f"""posts AS (SELECT doc_id AS ord, CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id AS VARCHAR) END AS post_id, DATE '1995-01-02' + CAST(doc_id % 2300 AS INTEGER) AS post_date,
         '세븐일레븐 ' || source || ')' || lang AS query, lang AS cat_m, 'https://blog.example/p/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END AS url,
         'https://blog.example/p/' || doc_id % 500 AS link, text AS body, n_chars AS likes,

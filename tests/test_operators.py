@@ -1,6 +1,8 @@
 """Edge cases by hand: ties, nulls, empty tables, zero denominators, non-ASCII text."""
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shelfwise.operators import aggregates as A
 from shelfwise.operators import clean as P
 from shelfwise.operators import joins as J
 from shelfwise.operators import windows as W
+from shelfwise.sources import files as S
 
 D = dt.date
 
@@ -86,6 +89,34 @@ def test_range_join_skips_nulls_and_open_ends_cheaply(spark):
     assert J.range_join(points.limit(0), ranges, "day").count() == 0
 
 
+def test_post_promo_match_against_brute_force(spark):
+    """Every promotion in force is weighed: open-ended, nested, equal and touching ones, tokens inside longer words."""
+    rng = random.Random(6)
+    day = lambda n: D(2025, 1, 1) + dt.timedelta(days=n)
+    stems = ["Cola", "cocoa", "co", "콜라", "제로", "zero", "ze", "a", "라"]
+    promo = []
+    for i in range(150):
+        start = rng.randrange(60)
+        end = D(2099, 12, 31) if rng.random() < 0.1 else day(start + rng.choice([-2, 0, 1, 3, 3, 10, 30]))
+        promo.append((f"e{i % 140:03d}", " ".join(rng.choice(stems) + rng.choice(["", "1", "라"]) for _ in range(rng.randrange(1, 3))), day(start), end))
+    said = [(i, day(rng.randrange(-3, 75)), " ".join(rng.choice(stems) for _ in range(rng.randrange(1, 4)))) for i in range(200)] + [(900, None, "cola"), (901, day(3), None), (902, day(3), "!! a")]
+    want = {}
+    for i, date, product in said:
+        tokens = [t for t in re.sub(r"[^\w]", " ", product or "").split(" ") if len(t) >= 2]
+        fits = [(-sum(t.lower() in name.lower() for t in tokens), start, code, name) for code, name, start, end in promo if date and start <= date <= end]
+        if fits and min(fits)[0] < 0:
+            want[i] = min(fits)[:3]
+    mentions = spark.createDataFrame(said, "mention_id int, post_date date, product string")
+    got = J.post_promo_match(mentions, spark.createDataFrame(promo, "event_code string, event_name string, start_date date, end_date date")).collect()
+    assert {r["mention_id"]: (-r["score"], r["start_date"], r["event_code"]) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_cp949_files_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("코드,이름\n1,세븐일레븐 컵라면\nx,\"삼각,김밥\"\n3,\n".encode("cp949"))
+    got = S.read_csv_encoded(spark, str(tmp_path), "code int, name string", "CP949").collect()
+    assert [tuple(r) for r in got] == [(1, "세븐일레븐 컵라면"), (None, "삼각,김밥"), (3, None)]
+
+
 def test_launch_windows_include_both_ends(spark):
     rows = [("a", D(2025, 1, 1) + dt.timedelta(days=n), 1, 1) for n in (0, 7, 8, 14, 28, 29)]
     lines = spark.createDataFrame(rows, "item_code string, sale_date date, qty long, amount long")
