@@ -99,7 +99,7 @@ def meta_slots(source: str | None, lang: str | None) -> list[int]:
 
 
 def view_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, grams binary, shares array<double>, meta array<int>); grams are compressed differences of ascending slots."""
+    """(doc_id, grams binary, shares array<float>, meta array<int>); grams are compressed differences of ascending slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -111,11 +111,11 @@ def view_features(docs: DataFrame) -> DataFrame:
                 grams.append(zlib.compress(np.diff(hasher.grams(words), prepend=np.uint16(0)).astype("<u2").tobytes(), 1))
                 shares.append(surface_shares(text, words))
             meta = [meta_slots(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary()), pa.array(shares, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "grams", "shares", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary()), pa.array(shares, pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int32()))], names=["doc_id", "grams", "shares", "meta"])
 
     given = lambda c: F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", given("text"), given("source"), given("lang")).mapInArrow(run, f"doc_id {kind}, grams binary, shares array<double>, meta array<int>")
+    return docs.select("doc_id", given("text"), given("source"), given("lang")).mapInArrow(run, f"doc_id {kind}, grams binary, shares array<float>, meta array<int>")
 
 
 def unpacked(grams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ class CoTrained:
         rows = np.repeat(np.arange(len(sizes)), sizes)
         words = np.bincount(rows, weights=self.ratios[slots], minlength=len(sizes)) / np.maximum(1, sizes)
         flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
-        shares = flat("shares").reshape(len(sizes), N_SHARES)
+        shares = flat("shares").astype(float).reshape(len(sizes), N_SHARES)
         return np.column_stack((words, self.ratios[share_slots(shares)].mean(axis=1), shares)), self.ratios[flat("meta")].reshape(len(sizes), 2)
 
     def calibrated(self, rows: pa.RecordBatch, y: np.ndarray) -> CoTrained:
@@ -215,7 +215,7 @@ def _counts(features: DataFrame, model: CoTrained | None, confident: float) -> t
             slots, n = unpacked(batch.column("grams").to_pylist())
             rows = np.repeat(np.arange(len(n)), n)
             shares, meta = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("shares", "meta"))
-            classes = share_slots(shares.reshape(len(n), N_SHARES))
+            classes = share_slots(shares.astype(float).reshape(len(n), N_SHARES))
             for k in (0, 1):
                 mine = given[0] == k
                 counts[k] += np.bincount(slots[mine[rows]], minlength=SLOTS)
@@ -245,7 +245,8 @@ def labelled(features: DataFrame, labels: DataFrame, calibration: int = CALIBRAT
     truth = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     share = min(0.5, calibration / max(1, truth.count()))
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40))
-    return stored(features.join(truth, "doc_id", "left").withColumn("held", F.col("y").isNotNull() & held), "views")
+    # labels grow with the documents, so they are never broadcast: small tables are joined as large ones are
+    return stored(features.join(truth.hint("merge"), "doc_id", "left").withColumn("held", F.col("y").isNotNull() & held), "views")
 
 
 def cotrain(features: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:

@@ -700,7 +700,8 @@ def test_cotraining_round_against_brute_force(spark, docs):
     views = {}
     for k, r in plain.items():
         words = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
-        content = [{int(g) for g in hasher.grams(words)}, [int(s) for s in cotraining.share_slots(np.array([cotraining.surface_shares(r["text"], words)]))[0]], cotraining.surface_shares(r["text"], words)]
+        shares = np.array(cotraining.surface_shares(r["text"], words), dtype=np.float32).astype(float)
+        content = [{int(g) for g in hasher.grams(words)}, [int(s) for s in cotraining.share_slots(shares[None])[0]], shares.tolist()]
         views[k] = (content, [[s] for s in cotraining.meta_slots(r["source"], r["lang"])])
 
     def count(label):
