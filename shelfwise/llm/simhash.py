@@ -6,12 +6,15 @@ or less agree on one of r + 1 bit blocks, so nodes are sharded by (block, its va
 shard builds a BK-tree (children keyed by their integer Hamming distance to the parent) and
 searches it along the edges within the radius only. A shard returns one link per node to
 the root of its local class, never all pairs, and the links are joined into components.
+A crowded shard is divided by blocks of the bits it doesn't fix, again and again: after a few
+divisions so few bits are open that no shard can hold more than a thousand nodes.
 
 ``similar_classes`` serves a similarity of whole texts (Jaccard of word shingles) instead of a
 bit distance. At a similarity of 0.8 fingerprints differ in ten bits on average, so no few
 blocks of bits agree, and repeated shingles move a fingerprint but not the similarity: there,
 texts share a shard when they agree on a band of shingle minima, and the shingle sets alone
-decide on each link.
+decide on each link. A crowded shard's texts are compared part by part, and then across parts
+where they are not in one class already, so no task holds more than a part's sets.
 
 The shard trees meet their queries by a shuffle on the shard key. Broadcasting them all, as
 the textbook form does, would ship data that grows with the corpus.
@@ -19,6 +22,7 @@ the textbook form does, would ship data that grows with the corpus.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored
+from shelfwise.llm.common import stored, unused
 from shelfwise.llm.components import connected_components
 
 BITS = 64
@@ -131,34 +135,45 @@ def _shard_links(keys: list[int], ids: list[int], radius: int) -> Iterator[tuple
             yield i, root
 
 
-def _blocks(low: int, high: int, n: int) -> list[tuple[int, int]]:
-    """n bit ranges (shift, width) that cover bits low to high."""
-    cuts = [low + (high - low) * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def _divided(masks: list[int], radius: int) -> list[int]:
+    """For each mask of agreed bits, the ``radius`` + 1 masks that each agree on one block of the others too."""
+    found = []
+    for mask in masks:
+        free = [i for i in range(BITS) if not mask >> i & 1]
+        cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+        found += [mask | sum(1 << i for i in free[a:b]) for a, b in itertools.pairwise(cuts)]
+    return found
 
 
-def _bits(shift: int, width: int):
-    return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 2, shard_limit: int = 4096) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = 2, shard_limit: int = 1024) -> DataFrame:
     """(a, b): links that join exactly the nodes (id, fp) within the radius into classes.
 
-    A shard of more than ``shard_limit`` nodes is divided again: its nodes agree on one block
-    and still differ in ``radius`` bits or fewer elsewhere, so they agree on one of
-    ``radius`` + 1 blocks of the other bits as well.
+    Nodes of a shard agree on the bits of a mask and differ in ``radius`` others or fewer, so they
+    agree on one of ``radius`` + 1 blocks of the other bits as well: shards of more than
+    ``shard_limit`` nodes are divided so, until ten bits or fewer are open (2^10 nodes at most).
     """
-    blocks = _blocks(0, BITS, radius + 1)
-    sharded = nodes.select("id", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _bits(*b).alias("key")) for i, b in enumerate(blocks)])).alias("s")).select("id", "fp", "s.*")
-    sizes = sharded.groupBy("block", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    again = None
-    for i, (shift, width) in enumerate(blocks):
-        rest = F.shiftrightunsigned("fp", shift + width) if shift + width < BITS else F.lit(0).cast("long")
-        rest = F.shiftleft(rest, shift).bitwiseOR(_bits(0, shift)) if shift else rest
-        inner = F.array(*[F.struct(F.lit(j).alias("sub"), F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << w) - 1)).alias("subkey")) for j, (s, w) in enumerate(_blocks(0, BITS - width, radius + 1))])
-        again = F.when(F.col("block") == i, inner) if again is None else again.when(F.col("block") == i, inner)
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey")))
-    shards = sharded.join(sizes, ["block", "key"]).withColumn("s", F.explode(F.when(F.col("size") <= shard_limit, whole).otherwise(again))).select("block", "key", "s.*", "fp", "id")
+    masks, whole = [0], []
+    now = nodes.select("id", "fp", F.lit(0).alias("mask"))
+    while True:
+        masks = _divided(masks, radius)
+        table = F.array(*[F.lit(_signed(m)) for m in masks])
+        next_masks = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.col("mask") * (radius + 1) + j)
+        shards = now.select("id", "fp", F.explode(next_masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.get(table, F.col("mask"))))
+        level = F.lit(len(whole))
+        sizes = stored(shards.groupBy("mask", "key").agg(F.count("*").alias("size")).filter("size > 1"), "shard-sizes")
+        sized = shards.join(sizes, ["mask", "key"])
+        open_bits = BITS - min(m.bit_count() for m in masks)
+        crowded = sizes.filter(F.col("size") > shard_limit)
+        if open_bits <= 10 or crowded.isEmpty():
+            whole.append(sized.select(level.alias("level"), "mask", "key", "fp", "id"))
+            break
+        whole.append(sized.filter(F.col("size") <= shard_limit).select(level.alias("level"), "mask", "key", "fp", "id"))
+        now = stored(sized.filter(F.col("size") > shard_limit).select("id", "fp", "mask"), "crowded")
+    shards = functools.reduce(DataFrame.union, whole)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, keys, ids, out = None, [], [], []
@@ -169,7 +184,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, shard_limit: int = 4096
 
         for frame in frames:
             # each shard's rows are adjacent: the partitions are sorted by shard
-            for *at, fp, own in zip(*(frame[c].tolist() for c in ("block", "key", "sub", "subkey", "fp", "id")), strict=True):
+            for *at, fp, own in zip(*(frame[c].tolist() for c in ("level", "mask", "key", "fp", "id")), strict=True):
                 if at != shard:
                     close()
                     shard, keys, ids = at, [], []
@@ -182,7 +197,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, shard_limit: int = 4096
         if out:
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    by = ["block", "key", "sub", "subkey"]
+    by = ["level", "mask", "key"]
     return shards.repartition(*by).sortWithinPartitions(*by, "fp").mapInPandas(run, "a long, b long")
 
 
@@ -215,31 +230,30 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least)]
 
 
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, bands): node is a hash of the words, equal for texts with the same words."""
+def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, row, node, bands) from (id, row, text): node is a hash of the words, equal for texts with the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, bands = [], []
-            for t in batch.column(1).to_pylist():
-                hashes = shingle_hashes(t, shingle)
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py(), shingle)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 1) - (1 << 63))
                 bands.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "node", "bands"])
 
-    return docs.mapInArrow(run, "id long, node long, bands array<long>")
+    return texts.mapInArrow(run, "id long, row long, node long, bands array<long>")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles): distinct shingle hashes as binary, ascending."""
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) from (node, text): distinct shingle hashes as binary, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            sets = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [np.unique((shingle_hashes(t.as_py(), shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 def _alike(mine: np.ndarray, theirs: np.ndarray, similarity: float) -> bool:
@@ -249,19 +263,19 @@ def _alike(mine: np.ndarray, theirs: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(mine) + len(theirs) - both)
 
 
-def similarity_links(shards: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): verified links that join each shard's texts into classes. ``shards`` has shard, id, shingles.
+def _links_within(parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links that join each part's texts into classes. ``parts`` has shard, part, node, shingles.
 
     A text is compared with the members of each class until one is alike, the class's first and
-    then its latest ones: a shard of n copies takes about n comparisons of sets.
+    then its latest ones: a part of n copies takes about n comparisons of sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, classes, out = None, [], []  # a class is a list of (id, set)
+        part, classes, out = None, [], []  # a class is a list of (node, set)
         for batch in batches:
-            for at, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != shard:
-                    shard, classes = at, []
+            for *at, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != part:
+                    part, classes = at, []
                 mine = np.frombuffer(raw, dtype="<u4")
                 joined, apart = [], []
                 for members in classes:
@@ -280,28 +294,105 @@ def similarity_links(shards: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
                 out.clear()
 
-    return shards.select("shard", "id", "shingles").repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "a long, b long")
+    by = ["shard", "part"]
+    return parts.select(*by, "node", "shingles").repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
+
+
+def _links_across(parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links from visitors to the own texts of a part that are in other classes.
+
+    ``parts`` has shard, part, visits, node, class, shingles. Own texts come first and are held, visitors
+    stream by; classes that a link has joined aren't compared again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, top, out = None, {}, {}, []
+
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        for batch in batches:
+            for *at, visits, own, group, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != part:
+                    part, held, top = at, {}, {}
+                mine = np.frombuffer(raw, dtype="<u4")
+                if not visits:
+                    held.setdefault(group, []).append((own, mine))
+                    continue
+                for other, members in held.items():
+                    if root(other) != root(group) and (found := next((i for i, theirs in members if _alike(mine, theirs, similarity)), None)) is not None:
+                        out.append((own, found))
+                        top[root(group)] = root(other)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+
+    by = ["shard", "part", "visits"]
+    return parts.select(*by, "node", "class", "shingles").repartition("shard", "part").sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of texts whose shingle sets have this Jaccard similarity or more, through any chain.
+def similarity_components(members: DataFrame, sets: DataFrame, similarity: float, part_limit: int) -> DataFrame:
+    """(node, component) of the nodes that have a link. ``members``: (shard, node, n), stored; ``sets``: (node, shingles), stored.
 
-    component_id is the class's smallest id. Texts with the same words are one node, and only texts that
-    share a band with another carry their shingles to a shard. Null and wordless texts form no class;
-    null ids are left out; rows that share an id share its class. An empty table stays empty.
+    Shards of more than ``part_limit`` nodes are parted by a hash of the node. What their parts
+    leave outside a shard's largest class then visits every part of the shard, so each pair of a
+    shard is compared or known to be in one class.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    parts = F.ceil(F.col("n") / part_limit).cast("int")
+    parted = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    links = stored(_links_within(parted.join(sets, "node"), similarity), "near-links")
+    named = connected_components(links)
+    crowded = parted.filter(F.col("n") > part_limit)
+    if crowded.isEmpty():
+        return named
+    classed = stored(crowded.join(named.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node")), "near-classes")
+    largest = classed.groupBy("shard", "class").agg(F.count("*").alias("m")).groupBy("shard").agg(F.max_by("class", F.struct("m", "class")).alias("main"))
+    rest = classed.join(largest, "shard").filter("class <> main").drop("main")
+    if rest.isEmpty():
+        return named
+    own = classed.join(rest.select("shard").distinct(), "shard", "left_semi").withColumn("visits", F.lit(False))
+    visitors = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("visits", F.lit(True))
+    more = stored(_links_across(own.unionByName(visitors).join(sets, "node"), similarity), "near-links")
+    return connected_components(links.union(more))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, part_limit: int = 512) -> DataFrame:
+    """(doc_id, row, component_id, first): classes of texts whose shingle sets have this Jaccard similarity or more, through any chain.
+
+    A row for each id and text; ``row`` is the text's hash (xxhash64 of Spark). component_id is
+    the class's smallest id, and ``first`` marks one text of each class, of that id: the one
+    with the smallest hash of its words and then of itself. Texts with the same words are one
+    node, and only nodes that share a band with another carry their shingles to a shard. Null
+    and wordless texts form no class; null ids are left out; rows that share an id are apart
+    unless their texts are alike. An empty table stays empty. Other columns aren't read.
+    """
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).filter("id is not null")
     sketches = stored(_sketches(texts, shingle).filter(F.size("bands") > 0), "sketches")
-    leaders = sketches.groupBy("node").agg(F.min("id").alias("id"))
-    banded = sketches.join(leaders, ["node", "id"], "left_semi").select("id", F.explode("bands").alias("shard")).distinct()
-    crowded = banded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard")
+    banded = sketches.select("node", F.explode("bands").alias("shard")).distinct()
+    crowded = banded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(crowded, "shard"), "shards")
-    wanted = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    shards = members.join(_shingle_sets(wanted, shingle), "id")
-    links = connected_components(similarity_links(shards, similarity)).select(F.col("node").alias("id"), "component")
-    by_node = leaders.join(links, "id", "left").select("node", F.coalesce("component", "id").alias("component_id"))
-    found = sketches.select("id", "node").join(by_node, "node").groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return found.select(F.col("id").alias("doc_id"), "component_id")
+    wanted = sketches.select("id", "row", "node").join(members.select("node").distinct(), "node", "left_semi")
+    one = wanted.groupBy("node").agg(F.min(F.struct("id", "row")).alias("s")).select("node", "s.*")
+    sets = stored(_shingle_sets(texts.join(one, ["id", "row"]).dropDuplicates(["node"]).select("node", "text"), shingle), "shingles")
+    named = similarity_components(members, sets, similarity, part_limit)
+    classed = sketches.select("id", "row", "node").distinct().join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classed.groupBy("component").agg(F.min(F.struct("id", "node", "row")).alias("least"))
+    mark = (F.col("id") == F.col("least.id")) & (F.col("node") == F.col("least.node")) & (F.col("row") == F.col("least.row"))
+    return classed.join(least, "component").select(F.col("id").alias("doc_id"), "row", F.col("least.id").alias("component_id"), mark.alias("first"))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_limit: int = 512) -> DataFrame:
+    """The rows of ``docs`` (all columns) that are the first of their class by ``similar_classes``, or in none.
+
+    Rows equal in id and text are one document: they stay or go together. Null ids and texts stay.
+    Columns may have any names.
+    """
+    row = unused(docs, "row")
+    later = similar_classes(docs, shingle=shingle, similarity=similarity, part_limit=part_limit).filter("not first").select("doc_id", F.col("row").alias(row))
+    return docs.withColumn(row, F.xxhash64(F.col("text").cast("string"))).join(later, ["doc_id", row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -145,10 +145,10 @@ def test_crowded_shards_are_divided_and_lose_no_link(spark):
     keys = sorted(fps)
     rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(keys)]
     links = {}
-    for limit in (4096, 3):
+    for limit in (4096, 40, 3):
         found = simhash.fingerprint_links(spark.createDataFrame(rows, "id long, fp long"), 2, limit)
         links[limit] = {r["node"]: r["component"] for r in connected_components(found).collect()}
-    assert links[4096] == links[3] and links[3]
+    assert links[4096] == links[40] == links[3] and links[3]
     near = {x for a, b in itertools.combinations(range(len(keys)), 2) if (keys[a] ^ keys[b]).bit_count() <= 2 for x in (a, b)}
     assert set(links[3]) == near
 
@@ -160,16 +160,55 @@ def test_simhash_edges(edges, spark):
     assert simhash.near_duplicate_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_similar_classes(spark, docs, texts, edges):
+@pytest.mark.parametrize("limit", [512, 2])
+def test_similar_classes(spark, docs, texts, edges, limit):
     sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in texts.items()}
     top = {k: k for k in sets}
     for _ in range(3):
         for a, b in itertools.combinations(sets, 2):
             if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 top[a] = top[b] = min(top[a], top[b])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs, part_limit=limit).collect()}
     assert got == {k: v for k, v in top.items() if sets[k]}
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(edges).collect()} == {4: 4, 5: 5, 6: 5, 7: 7}
+    found = simhash.similar_classes(edges, part_limit=limit).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {4: 4, 5: 5, 6: 5, 7: 7}
+    assert [r["doc_id"] for r in found if not r["first"]] == [6]
+
+
+def test_crowded_near_copies_are_compared_part_by_part(spark):
+    """Chains of near copies around two texts that share their bands, in parts of three: the same classes as all pairs give."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, rows = words(120), []
+    for _ in range(40):
+        text = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            text[rng.randrange(len(text))] = words(1)[0]
+        rows.append(text)
+    for _ in range(12):  # far enough from most others, yet sharing bands with them
+        rows.append([*base[: rng.randrange(60, 110)], *words(rng.randrange(5, 40))])
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string").repartition(5)
+    sets = [set(simhash.shingle_hashes(" ".join(w), 5).tolist()) for w in rows]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {min(c): c for c in classes_of(pairs)}
+    got = {}
+    for r in simhash.similar_classes(table, part_limit=3).collect():
+        got.setdefault(r["component_id"], set()).add(r["doc_id"])
+        assert r["first"] == (r["doc_id"] == r["component_id"])
+    assert {k: frozenset(v) for k, v in got.items() if len(v) > 1} == want and len(pairs) > 100
+
+
+def test_near_copies_with_repeated_ids_and_clashing_names(spark):
+    rng = random.Random(22)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (5, a + " end"), (5, b), (5, b), (6, b + " end"), (7, c), (7, c + " end"), (None, a), (8, None), (9, " ")]
+    table = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, `row` int, `Shard` string")
+    kept = simhash.without_near_copies(table)
+    assert kept.columns == table.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    seven = [x for x in got if x[0] == 7]
+    assert len(seven) == 1 and got == Counter([(1, a), (5, b), (5, b), (None, a), (8, None), (9, " "), *seven])
+    assert simhash.without_near_copies(table.limit(0)).count() == 0
 
 
 def test_lzw_round_trip_and_refusals():
