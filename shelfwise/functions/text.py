@@ -58,12 +58,16 @@ def full_lines(body: Column) -> Column:
 def line_features(body: Column) -> Column:
     """body_len, num_lines, mean_line_len, line_len_std (population) over lines that aren't blank; zeros for a blank body."""
     sizes = F.transform(full_lines(body), lambda x: F.length(x).cast("double"))
-    n = F.size(sizes)
-    mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x) / n
-    blank = body.isNull() | (F.length(strip(body)) == 0)
     zero = F.lit(0.0)
-    return F.struct(F.when(blank, 0).otherwise(F.length(body)).alias("body_len"), F.when(blank, 0).otherwise(n).alias("num_lines"), F.when(blank, zero).otherwise(mean).alias("mean_line_len"), F.when(blank, zero).otherwise(F.sqrt(F.greatest(zero, square - mean * mean))).alias("line_len_std"))
+
+    def of(sizes: Column) -> Column:
+        sums = F.aggregate(sizes, F.struct(zero.alias("s"), zero.alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+        return F.struct(F.size(sizes).alias("n"), F.try_divide(sums["s"], F.size(sizes)).alias("mean"), F.try_divide(sums["q"], F.size(sizes)).alias("square"))
+
+    # an element that a lambda names is computed once; fields of a plain struct would each split the body again
+    blank = body.isNull() | (F.length(strip(body)) == 0)
+    finished = lambda f: F.struct(F.when(blank, 0).otherwise(F.length(body)).alias("body_len"), F.when(blank, 0).otherwise(f["n"]).alias("num_lines"), F.when(blank, zero).otherwise(f["mean"]).alias("mean_line_len"), F.when(blank, zero).otherwise(F.sqrt(F.greatest(zero, f["square"] - f["mean"] * f["mean"]))).alias("line_len_std"))
+    return F.get(F.transform(F.transform(F.array(sizes), of), finished), 0)
 
 
 def type_token_ratio(body: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.joins import RECEIPT, range_join
+from shelfwise.operators.ordering import percentiles
 
 # Fixed values.
 PLACEHOLDERS = ["-", "N/A", "n/a", "없음", "미정", "0", "미분류", "null", "NULL", "?", "."]
@@ -48,7 +49,7 @@ def format_errors(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
 
 def anomaly_report(df: DataFrame, dates: Sequence[str], numbers: Sequence[str], texts: Sequence[str], years: tuple[int, int] = (2010, 2026)) -> DataFrame:
     """Dates outside the years; zero, negative and extreme (over ten times the 99th percentile) numbers; placeholder strings."""
-    edges = df.agg(*[F.percentile(c, 0.99).alias(f"_q_{c}") for c in numbers])
+    edges = percentiles(df, numbers, [0.99]).select(*[F.get(c, F.lit(0)).alias(f"_q_{c}") for c in numbers])
     joined = df.join(F.broadcast(edges))
     rows = [F.struct(F.lit(c).alias("column"), F.lit("date").alias("kind"), F.count_if(~F.year(c).between(*years)).alias("n")) for c in dates]
     rows += [F.struct(F.lit(c).alias("column"), F.lit("number").alias("kind"), F.count_if((F.col(c) <= 0) | (F.col(c) > 10 * F.col(f"_q_{c}"))).alias("n")) for c in numbers]
@@ -77,7 +78,7 @@ def baskets(lines: DataFrame) -> DataFrame:
 
 
 def trim_top(df: DataFrame, columns: Sequence[str], q: float = 0.99) -> DataFrame:
-    edges = df.agg(*[F.percentile(c, q).alias(f"_q_{c}") for c in columns])
+    edges = percentiles(df, columns, [q]).select(*[F.get(c, F.lit(0)).alias(f"_q_{c}") for c in columns])
     out = df.join(F.broadcast(edges))
     for c in columns:
         out = out.filter(F.col(c) <= F.col(f"_q_{c}"))
@@ -108,7 +109,8 @@ def success_label(weekly: DataFrame, classes: DataFrame, least_avg: float = 119,
 
 
 def distribution(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
-    return df.agg(F.round(F.avg(column), 4).alias("mean"), *[F.round(F.percentile(column, q), 4).alias(k) for k, q in quantiles.items()])
+    edges = percentiles(df, [column], list(quantiles.values()))
+    return df.agg(F.round(F.avg(column), 4).alias("mean")).join(F.broadcast(edges)).select("mean", *[F.round(F.get(column, F.lit(i)), 4).alias(k) for i, k in enumerate(quantiles)])
 
 
 def node_degree(df: DataFrame, key: str) -> DataFrame:
@@ -201,7 +203,7 @@ def log_length_thresholds(df: DataFrame, column: str, ks: Sequence[float] = (2,
 
 def percentile_bands(df: DataFrame, column: str, hit: Column, cuts: Sequence[float]) -> DataFrame:
     """Rows and hits between neighbouring percentiles; the last band holds its upper end. Rows below the first cut are left out."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(float(c)) for c in cuts])).alias("q"))
+    edges = percentiles(df, [column], cuts).withColumnRenamed(column, "q")
     band = F.lit(None).cast("int")
     for i in range(len(cuts) - 1):
         band = F.when(F.col(column) >= F.get("q", F.lit(i)), i).otherwise(band)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.ordering import percentiles, prefix_sums, value_ranks
+
 ROWS = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -57,7 +59,7 @@ def top_share_items(sales: DataFrame, category: str, share: float = 0.2, measure
 
 def top_quantile_items(sales: DataFrame, q: float = 0.95, measure: str = "amount") -> DataFrame:
     """Items at or above the quantile over all (linear interpolation), one row of the quantile joined back."""
-    edge = sales.agg(F.percentile(measure, q).alias("edge"))
+    edge = percentiles(sales, [measure], [q]).select(F.get(measure, F.lit(0)).alias("edge"))
     return sales.join(F.broadcast(edge), F.col(measure) >= F.col("edge"))
 
 
@@ -69,9 +71,10 @@ def top_quantile_by(sales: DataFrame, category: str, q: float = 0.95, least_item
 
 
 def lorenz(sales: DataFrame, measure: str = "amount") -> DataFrame:
-    """Every item's rank, item share and cumulative share over all. One ordering over items: aggregate lines first."""
-    r = ranked_shares(sales.withColumn("_all", F.lit(1)), "_all", measure)
-    return r.select("item_code", measure, "rn", F.round(100.0 * F.col("rn") / F.col("n"), 4).alias("item_pct"), F.round("cum_pct", 4).alias("cum_pct"))
+    """Every item's rank, item share and cumulative share over all, largest first, ties by item code."""
+    totals = F.broadcast(sales.agg(F.count("*").alias("n"), F.sum(measure).alias("total")))
+    r = prefix_sums(sales.select("item_code", measure), [F.desc(measure), "item_code"], rn=F.lit(1), run=F.col(measure)).join(totals)
+    return r.select("item_code", measure, F.col("rn").cast("int").alias("rn"), F.round(100.0 * F.col("rn") / F.col("n"), 4).alias("item_pct"), F.round(F.try_divide(100.0 * F.col("run"), "total"), 4).alias("cum_pct"))
 
 
 def lorenz_summary(sales: DataFrame, measure: str = "amount", share: float = 20.0) -> DataFrame:
@@ -98,7 +101,8 @@ def longtail_rank(items: DataFrame, level: str) -> DataFrame:
 
 def label_index(items: DataFrame, column: str) -> DataFrame:
     """A number from 0 for each distinct value in order."""
-    return items.select(column).dropna().distinct().withColumn("label", F.row_number().over(Window.orderBy(column)) - 1)
+    numbered = prefix_sums(items.select(column).dropna().distinct(), [column], label=F.lit(1))
+    return numbered.withColumn("label", (F.col("label") - 1).cast("int"))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -118,7 +122,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int)
 
 def outliers(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows outside both percentiles in every one of the columns."""
-    edges = df.agg(*[F.percentile(c, p).alias(f"_{c}_{i}") for c in columns for i, p in enumerate((low, high))])
+    edges = percentiles(df, columns, [low, high]).select(*[F.get(c, F.lit(i)).alias(f"_{c}_{i}") for c in columns for i in (0, 1)])
     joined = df.join(F.broadcast(edges))
     for c in columns:
         joined = joined.filter((F.col(c) < F.col(f"_{c}_0")) | (F.col(c) > F.col(f"_{c}_1")))
@@ -134,13 +138,10 @@ def gini_by_group(counts: DataFrame, group: str, measure: str = "x") -> DataFram
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman: Pearson's coefficient of average ranks. One ordering over rows: for aggregated tables."""
-
-    def average_rank(c: str):
-        n_below = F.rank().over(Window.orderBy(c))
-        return n_below + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    return df.select(average_rank(x).alias("rx"), average_rank(y).alias("ry")).agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    """Spearman: Pearson's coefficient of average ranks. Distinct values are ranked and joined back; rows with a null are left out."""
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    rank = lambda c: value_ranks(rows, c).select(F.col("value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+    return rows.join(rank("x"), "x").join(rank("y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
 
 def topk_disagreement(df: DataFrame, x: str, y: str, k: int, key: str = "item_code") -> DataFrame:

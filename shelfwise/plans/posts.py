@@ -22,8 +22,7 @@ FEATURES = f"+f0 AS (SELECT *, {LINES} AS ls, {TOKENS} AS tk FROM posts), f AS (
 def features(s, d):
     """The driver's texts hold no Hangul: lower-case Latin letters stand for it."""
     body = F.col("body")
-    lines = T.line_features(body)
-    return posts(s, d).select("ord", "query", "body", "link", lines["body_len"].alias("body_len"), lines["num_lines"].alias("num_lines"), lines["mean_line_len"].alias("mean_line_len"), lines["line_len_std"].alias("line_len_std"), T.type_token_ratio(body).alias("ttr"), T.char_ratio(body, "0-9").alias("num_ratio"), T.char_ratio(body, "a-z").alias("kor_ratio"))
+    return posts(s, d).withColumn("lines", T.line_features(body)).select("ord", "query", "body", "link", "lines.*", T.type_token_ratio(body).alias("ttr"), T.char_ratio(body, "0-9").alias("num_ratio"), T.char_ratio(body, "a-z").alias("kor_ratio"))
 
 
 GOOD = "body_len >= 200 AND body_len <= 30000 AND mean_line_len >= 10 AND ttr >= 0.3 AND num_ratio <= 0.25 AND kor_ratio >= 0.3"
