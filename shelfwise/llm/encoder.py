@@ -1,22 +1,30 @@
 """Whole texts to token ids with a tokenizers file, word by word through a cache.
 
-No token of the file's pre-tokenizer crosses an ASCII blank, and its normaliser (NFC, blanks,
-lower case) doesn't join characters across one, so a text's ids are its words' ids in a row.
-Distinct words are encoded once per worker while they stay in a bounded cache.
+Where no token of the file's pre-tokenizer crosses an ASCII blank, and its normaliser (NFC, blanks,
+lower case) doesn't join characters across one, a text's ids are its words' ids in a row.
+Distinct words are then encoded once per worker while they stay in a bounded cache. A file with
+other settings is used as the library uses it, a whole text at a time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 
-
 #: Letters below U+0250 once in lower case, and the words made of them and printable ASCII.
 _LETTERS = "a-zß-öø-ɏ"
 _PLAIN = re.compile(f"[!-~{_LETTERS}]+")
-#: The file's own pre-tokenizer pattern, narrowed to plain words.
+#: Settings under which words can be encoded alone.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: That pre-tokenizer pattern, narrowed to plain words.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -41,6 +49,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(Path(path).read_text())
+        normalizer, splitter = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+        self.by_words = normalizer.get("normalizers") == _NORMALIZERS and splitter.get("pretokenizers") == _SPLITTERS and settings["model"].get("type") == "BPE"
         self.model, self.names = self.tokenizer.model, _byte_names()
         self.limit = cache_words
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
@@ -69,6 +80,8 @@ class WordEncoder:
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian numbers of type ``kind``; null counts as empty."""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=self.kind).tobytes()
         raw = (text or "").encode("utf-8", "replace")
         if b"<|" not in raw:  # a special token's string keeps its case
             raw = raw.lower()

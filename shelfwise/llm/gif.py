@@ -222,6 +222,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
                 area = slice(top, top + h), slice(left, left + w)
                 before = (rgb.copy(), shown.copy()) if disposal == 3 else None
                 drawn = np.ones((h, w), bool) if clear_index is None else pixels != clear_index
+                if drawn.any() and int(pixels[drawn].max()) >= len(colours):
+                    raise ValueError("a colour beyond the palette")
                 rgb[area][drawn] = colours[np.minimum(pixels, len(colours) - 1)][drawn]
                 shown[area] |= drawn
                 yield Frame(delay, left, top, pixels, rgb.copy(), shown.copy())
@@ -238,7 +240,7 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
 
 def colour_histogram(frame: Frame, bins: int = 16) -> np.ndarray:
     """Counts of drawn pixels: ``bins`` for each of red, green and blue, in a row."""
-    pixels = frame.rgb[frame.shown]
+    pixels = frame.rgb.reshape(-1, 3) if frame.shown.all() else frame.rgb[frame.shown]
     return np.concatenate([np.bincount(pixels[:, c] // (256 // bins), minlength=bins) for c in range(3)])
 
 
@@ -294,28 +296,37 @@ def store_texts(docs: DataFrame, width: int = 192, id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {docs_type(docs, id_col)}, n_bytes long, media binary")
 
 
+TIMED = pa.list_(pa.struct([("frame", pa.int32()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
+
+
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Reads every stored GIF back: digests of its samples and file, and its colour histogram as text."""
+    """Reads every stored GIF back: digests of its samples and file, its histogram as text, and its timed frames.
+
+    ``frames`` holds (frame, delay_ms, width, height, histogram) of every frame, the last as
+    ``colour_histogram`` counts it. Null files, damaged ones and repeated ids don't come from ``store_texts``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms", "frames"]
         for batch in batches:
             rows: list[list] = [[] for _ in names[2:]]
             for blob in batch.column(2):
                 blob = blob.as_py()
-                digest, size, tail, histogram, frames, ms = hashlib.sha256(), 0, b"", 0, 0, 0
+                digest, size, tail, histogram, frames, ms, timed = hashlib.sha256(), 0, b"", 0, 0, 0, []
                 for f in decode_gif(blob):
                     red = f.rgb[: f.indices.shape[0], :, 0].tobytes()  # the palette is grey: red is the sample
                     digest.update(red)
                     size, tail, frames, ms = size + len(red), red[-16:], frames + 1, ms + f.delay_ms
-                    histogram = histogram + np.bincount(np.frombuffer(red, np.uint8) >> 4, minlength=16)
+                    colours = colour_histogram(f)
+                    timed.append({"frame": frames - 1, "delay_ms": f.delay_ms, "width": f.rgb.shape[1], "height": f.rgb.shape[0], "histogram": colours})
+                    histogram = histogram + colours[:16]
                 feature = f"frames={frames};grey16=" + ",".join(map(str, np.asarray(histogram).tolist()))
-                for column, x in zip(rows, (size, digest.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature, frames, ms), strict=True):
+                for column, x in zip(rows, (size, digest.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature, frames, ms, timed), strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), TIMED]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(rows, kinds, strict=True))], names=names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {docs_type(stored, 'doc_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {docs_type(stored, 'doc_id')}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long, frames array<struct<frame:int,delay_ms:int,width:int,height:int,histogram:array<long>>>")
 
 
 def op6_gif(spark, sf_dir: str) -> DataFrame:

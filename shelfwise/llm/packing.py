@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored
+from shelfwise.llm.common import clashing, stored, unused
 from shelfwise.llm.encoder import WordEncoder
 
 
@@ -105,23 +105,27 @@ def place(pieces: DataFrame, length: int = 2048, order: tuple[str, ...] = ("doc_
     A piece's rank among those of its length is its slice's base plus its row number there;
     slices (by hash of ``order``) keep a frequent length from becoming one task. Only the
     histogram reaches the driver. An empty table stays empty; ties in ``order`` may trade places.
+    Other columns of ``pieces`` may have any names but sequence_id and offset (ValueError).
     """
-    spark = pieces.sparkSession
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    counts = stored(cut.groupBy("length", "_slice").agg(F.count("*").alias("_n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    if taken := clashing(pieces, "sequence_id", "offset"):
+        raise ValueError(f"pieces has columns of the result's names: {taken}")
+    slice_, row, rank, base = (unused(pieces, x) for x in ("slice", "row", "rank", "base"))
+    slices = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = pieces.withColumn(slice_, F.pmod(F.xxhash64(*order), F.lit(slices)))
+    counts = stored(cut.groupBy("length", F.col(slice_).alias("slice")).agg(F.count("*").alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if any(not 0 < k <= length for k in histogram):
         raise ValueError(f"pieces must have 1 to {length} tokens")
     slots = _slots(shortest_pack_first(histogram, length))
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_slice").orderBy(*order)
-    ranked = cut.withColumn("_row", F.row_number().over(within) - 1).join(bases, ["length", "_slice"]).withColumn("_rank", F.col("_base") + F.col("_row"))
+    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # length x shuffle partitions rows at most, whatever the corpus
+    bases = counts.select("length", F.col("slice").alias(slice_), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("length", slice_).orderBy(*order)
+    ranked = cut.withColumn(row, F.row_number().over(within) - 1).join(bases, ["length", slice_]).withColumn(rank, F.col(base) + F.col(row))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sizes, ranks = frame["length"].to_numpy(), frame["_rank"].to_numpy()
+            sizes, ranks = frame["length"].to_numpy(), frame[rank].to_numpy()
             seq, off = np.zeros(len(frame), dtype=np.int64), np.zeros(len(frame), dtype=np.int64)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
@@ -129,9 +133,9 @@ def place(pieces: DataFrame, length: int = 2048, order: tuple[str, ...] = ("doc_
                 at = np.searchsorted(first, ranks[rows], side="right") - 1
                 seq[rows] = base[at] + ranks[rows] - first[at]
                 off[rows] = offset[at]
-            yield frame.drop(columns=["_rank"]).assign(sequence_id=seq, offset=off)
+            yield frame.drop(columns=[rank]).assign(sequence_id=seq, offset=off)
 
-    kept = ranked.select(*pieces.columns, "_rank")
+    kept = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], rank)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return kept.mapInPandas(run, f"{schema}, sequence_id long, offset long")
 

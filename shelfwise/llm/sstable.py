@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from shelfwise.llm.common import shared_dir
 from shelfwise.llm.encoder import WordEncoder
 
-MAGIC = b"TOKSST01"
+MAGIC = b"TOKSST02"
+#: Characters of text for a shard, at most on average; a smaller corpus is dealt to as many shards as tasks run at once.
+SHARD_CHARS, LEAST_CHARS = 1 << 28, 1 << 22
 _FOOTER = struct.Struct("<QQQQQQQIIQ")
 _INDEX = struct.Struct(">9s QIII")
 _NULL = b"\x00"
@@ -60,9 +63,9 @@ def _varint(n: int) -> bytes:
 
 
 def _bloom_places(keys: list[bytes], bits: int, hashes: int) -> np.ndarray:
-    """Places of each key by double hashing of two checksums."""
-    a = np.array([zlib.crc32(k) for k in keys], dtype=np.uint64)
-    b = np.array([zlib.crc32(k, 0x9E3779B9) for k in keys], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """Places of each key by double hashing: two 64-bit hashes of different seeds."""
+    a = np.array([xxhash.xxh64_intdigest(k, 0) for k in keys], dtype=np.uint64)
+    b = np.array([xxhash.xxh64_intdigest(k, 1) for k in keys], dtype=np.uint64) | np.uint64(1)
     return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
 
@@ -106,8 +109,8 @@ class ShardWriter:
         bits = max(64, len(self.keys) * self.bits_per_key + 7 & ~7)
         hashes = max(1, round(self.bits_per_key * 0.69))
         bloom = np.zeros(bits // 8, dtype=np.uint8)
-        if self.keys:
-            places = _bloom_places(self.keys, bits, hashes).ravel()
+        for at in range(0, len(self.keys), 65536):
+            places = _bloom_places(self.keys[at : at + 65536], bits, hashes).ravel()
             np.bitwise_or.at(bloom, places >> np.uint64(3), np.left_shift(np.uint8(1), (places & np.uint64(7)).astype(np.uint8)))
         index = self.zip.compress(b"".join(self.index))
         footer = _FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), bits, self.n_docs, self.n_ids, hashes, self.width, int.from_bytes(MAGIC, "little"))
@@ -185,15 +188,21 @@ def _open(uri: str):
     return where, path
 
 
+def shard_count(chars: int, tasks: int) -> int:
+    """Shards of SHARD_CHARS, but up to ``tasks`` as long as they have LEAST_CHARS."""
+    return max(1, -(-chars // SHARD_CHARS), min(tasks, -(-chars // LEAST_CHARS)))
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[dict]:
     """Encode every document, append the end id, write shards by ascending id; return the manifest.
 
     ``folder`` is a URI that driver and executors share. The manifest has a row per shard, so
     the driver holds as many rows as there are shards. Null ids come first, repeated ids are
     all kept (ordered by text), a null text counts as empty. An empty table writes no shard.
-    Further columns aren't read. A shard is streamed: a task holds one block and the keys.
+    Further columns aren't read. A shard is streamed: a task holds one block and the keys, and
+    the number of shards follows the text's length, so the keys of a shard are bounded too.
     """
-    n = shards or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = shards or shard_count(docs.select(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder.of(tokenizer)

@@ -22,6 +22,7 @@ from tests_llm_helpers import within_one_edit
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+OTHERS = [public_tokenizers.path("byte_bpe_50k.json")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", None, 4), (4, "one", "de", "s", 3), (5, "same text here", "en", "s", 14), (5, "same text here", "en", "s", 14), (6, "Same  TEXT here", "en", "s", 15), (None, "lost id", "en", "s", 7), (7, "é日本 <|endoftext|> a" * 400, "fr", "s", 8000)]
 
@@ -80,6 +81,33 @@ def test_word_encoder_equals_the_tokenizer(texts):
         assert own.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_other_tokenizers_are_used_whole(texts):
+    from tokenizers import Tokenizer
+
+    for path in OTHERS:
+        encoder, plain = encoder_of(path), Tokenizer.from_file(path)
+        assert not encoder.by_words
+        for t in [*list(texts.values())[:20], None, "", "a  b\n\tc <|endoftext|>"]:
+            assert encoder.ids(t).tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert encoder_of(WORDS).by_words
+
+
+def encoder_of(path):
+    return encoder.WordEncoder.of(path)
+
+
+def test_placing_rows_with_clashing_names(spark):
+    pieces = spark.createDataFrame([(i, 0, 1 + i % 7, "x", 1, 2) for i in range(40)], "doc_id long, start long, length long, `slice` string, `Row` int, rank int")
+    rows = packing.place(pieces, 8).collect()
+    assert len(rows) == 40 and all(r["slice"] == "x" and r["Row"] == 1 and r["rank"] == 2 for r in rows)
+    used = Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 8
+    with pytest.raises(ValueError, match="offset"):
+        packing.place(pieces.withColumn("Offset", F.lit(1)), 8)
+
+
 @pytest.mark.parametrize("which", ["docs", "edges"])
 def test_packing(spark, request, which):
     table = request.getfixturevalue(which)
@@ -247,6 +275,16 @@ def test_gif_palettes_disposal_transparency_interlace():
     assert next(gif.decode_gif(laced)).indices.ravel().tolist() == [0, 3, 2, 3, 1, 3, 2, 3]
 
 
+def test_gif_refuses_colours_beyond_the_palette():
+    import struct
+
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 1, 0x80, 0, 0) + bytes([10, 0, 0, 20, 0, 0])
+    clear = b"\x21\xf9\x04" + struct.pack("<BHB", 1, 5, 3) + b"\0"
+    assert next(gif.decode_gif(head + image(0, 0, 2, 1, [1, 3], clear) + b"\x3b")).shown.tolist() == [[True, False]]
+    with pytest.raises(ValueError, match="beyond the palette"):
+        next(gif.decode_gif(head + image(0, 0, 2, 1, [1, 3]) + b"\x3b"))
+
+
 def test_media_columns(spark, edges):
     got = gif.media_digests(gif.store_texts(edges)).collect()
     assert len(got) == len(EDGES)
@@ -255,6 +293,10 @@ def test_media_columns(spark, edges):
         raw = want[r["doc_id"]]
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        payload_counts = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
+        assert len(r["frames"]) == r["n_frames"] and r["duration_ms"] == sum(f["delay_ms"] for f in r["frames"])
+        assert sum(np.array(f["histogram"]) for f in r["frames"]).tolist() == payload_counts.tolist() * 3
+    assert gif.media_digests(gif.store_texts(edges.limit(0))).count() == 0
     frames = gif.media_frames(gif.store_texts(edges).withColumnRenamed("media", "m"), media_col="m").collect()
     assert sum(1 for r in frames if r["doc_id"] == 7) == -(-len(want[7]) // (192 * 256)) and all(sum(r["histogram"]) == 3 * r["width"] * r["height"] for r in frames)
     bad = spark.createDataFrame([(1, b"no"), (2, None)], "doc_id long, media binary")
@@ -687,6 +729,9 @@ def test_shards(spark, docs, texts, edges, tmp_path):
     rows = sstable.read_shards(spark, odd, with_ids=True).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 5, 6, 7] and rows[1]["ids"] == [1]
     assert sstable.write_shards(edges.limit(0), f"file://{tmp_path}/c", WORDS) == []
+    assert [sstable.shard_count(n, 50) for n in (0, 1, 1 << 22, 1 << 24, 1 << 30, 1 << 36)] == [1, 1, 1, 4, 50, 256]
+    wide = edges.withColumns({"key": F.lit("x"), "id": F.lit("x"), "None": F.lit("x")})
+    assert sum(r["n_docs"] for r in sstable.write_shards(wide, f"file://{tmp_path}/d", WORDS)) == len(EDGES)
 
 
 def test_shard_file_search(tmp_path):
