@@ -611,6 +611,16 @@ def test_similar_classes_with_unequal_repeats(spark):
     assert got == {k: k - k % 2 for k in range(len(rows))}
 
 
+def test_run_hashes_are_equal_for_equal_runs_only():
+    rng = np.random.default_rng(4)
+    flat = rng.integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False)
+    flat[4000:4060] = flat[7:67]
+    at = np.arange(4960)
+    found = substring_dedup.run_hashes(flat, at, 40)
+    assert found.dtype == np.int64 and len(set(found.tolist())) == 4960 - 21
+    assert found[4000:4021].tolist() == found[7:28].tolist()
+
+
 def test_minimizers_cover_every_window():
     rng = np.random.default_rng(5)
     sizes = np.array([0, 3, 7, 40, 200, 6, 23])
