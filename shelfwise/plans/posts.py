@@ -338,15 +338,13 @@ def f23_extract_json_block(s, d):
     return posts(s, d).select("ord", T.extract_json_block(F.col("reply")).alias("js"))
 
 
+@query(sql("posts", "SELECT ord, CASE WHEN ord % 2 = 0 THEN regexp_extract(reply, '\\{.*\\}', 0, 's') ELSE reply END AS fixed FROM posts WHERE ord % 11 <> 0 AND reply IS NOT NULL"))
 def f24_repair_json(s, d):
     """Replies cut short or with trailing commas, repaired: those that parse again."""
     broken = F.when(F.col("ord") % 2 == 0, F.regexp_replace("reply", r"\}[^}]*$", "")).otherwise(F.regexp_replace("reply", r"\}$", ",}"))
     return posts(s, d).select("ord", T.repair_json(broken).alias("fixed")).filter("fixed is not null")
 
 
-query(None)(f24_repair_json)
-
-
 @query(sql("posts", "SELECT ord, CASE WHEN length(body) >= 5000 THEN 3 WHEN length(body) >= 1000 THEN 2 WHEN length(body) >= 200 THEN 1 ELSE 0 END AS bin FROM posts"))
 def f25_bin_length(s, d):
     return posts(s, d).select("ord", T.bin_length(F.length("body"), [0, 200, 1000, 5000]).alias("bin"))

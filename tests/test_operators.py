@@ -10,6 +10,7 @@ from shelfwise.functions import text as T
 from shelfwise.operators import aggregates as A
 from shelfwise.operators import clean as P
 from shelfwise.operators import joins as J
+from shelfwise.operators import ordering as O
 from shelfwise.operators import windows as W
 from shelfwise.sources import files as S
 
@@ -111,6 +112,23 @@ def test_post_promo_match_against_brute_force(spark):
     assert {r["mention_id"]: (-r["score"], r["start_date"], r["event_code"]) for r in got} == want and len(got) == len(want) > 100
 
 
+def test_prefix_sums_and_percentiles_against_plain_lists(spark):
+    """Orders over a whole table, dealt by range: ties, nulls, one value for half of the rows, an empty table."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice([None, 7, 7, 7, rng.randrange(-50, 50)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(7)
+    got = [tuple(r) for r in O.prefix_sums(df.filter("v is not null"), [F.desc("v"), "k"], n=F.lit(1), total=F.col("v")).collect()]
+    kept = sorted(((k, v) for k, v in rows if v is not None), key=lambda r: (-r[1], r[0]))
+    assert sorted(got, key=lambda r: r[2]) == [(k, v, i + 1, sum(x for _, x in kept[: i + 1])) for i, (k, v) in enumerate(kept)]
+    shares = [0.0, 0.05, 0.5, 0.99, 1.0]
+    exact = df.agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("v")).first()["v"]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(O.percentiles(df, ["v"], shares).first()["v"], exact, strict=True))
+    assert O.percentiles(df.limit(0), ["v", "k"], [0.5]).first()[:] == ([None], [None])
+    assert O.prefix_sums(df.limit(0), ["v"], n=F.lit(1)).count() == 0
+    one = lambda rows: W.rank_correlation(spark.createDataFrame(rows, "x int, y int"), "x", "y").first()[0]
+    assert one([(1, 9), (2, 7), (2, 7), (5, 1), (None, 3)]) == -1.0
+
+
 def test_cp949_files_are_read(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("코드,이름\n1,세븐일레븐 컵라면\nx,\"삼각,김밥\"\n3,\n".encode("cp949"))
     got = S.read_csv_encoded(spark, str(tmp_path), "code int, name string", "CP949").collect()
