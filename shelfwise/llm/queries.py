@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from shelfwise.llm.cotraining import op2_cotraining
+from shelfwise.llm.fim import op13_fill_in_middle
 from shelfwise.llm.gif import op6_gif
+from shelfwise.llm.jaccard_join import op11_jaccard_join
 from shelfwise.llm.langid import op8_langid
 from shelfwise.llm.line_dedup import op9_line_dedup
 from shelfwise.llm.packing import op4_packing
 from shelfwise.llm.pieces import op1_sampled_pieces
 from shelfwise.llm.quality_rules import op7_quality_rules
+from shelfwise.llm.runs import op12_periodic_runs
 from shelfwise.llm.simhash import op5_simhash
 from shelfwise.llm.sstable import op10_token_shards
 from shelfwise.llm.substring_dedup import op3_repeated_passages
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_shards": op10_token_shards,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {}
