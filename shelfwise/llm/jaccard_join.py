@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import by_bytes, discard, salted_join, stored
+from shelfwise.llm.common import by_bytes, discard, freed, salted_join, stored
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.substring_dedup import WordHasher
 
@@ -61,6 +61,10 @@ def node_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.astype("<u8").tobytes())
 
 
+def short_of(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def least_overlap(n: int, percent: int) -> int:
     """What a set of n shares at least with any that resembles it."""
     return -(-percent * n // 100)
@@ -82,13 +86,28 @@ def _each(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> Itera
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, node, n) of each text; node is null for an empty set."""
+    """(id, node, k, n, profile) of each text, null but for n where the set is empty; and (slice, counts): each task's table of shingles by bucket.
+
+    k is 64 bits of the node: candidates are looked for by k alone, and where two nodes share one, both come along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = np.zeros(1 << ORDER_BITS, dtype=np.int64), set()
         for batch, sets in _each(batches, 1, shingle):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "node", "n"])
+            if fresh := [sets[i] for i, _ in _fresh(sets, seen)]:
+                table += np.bincount(_bucket(np.concatenate(fresh)), minlength=len(table))
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            profiles = [profile_of(s).tobytes() if len(s) else None for s in sets]
+            yield _row(batch.column(0), nodes, [None if x is None else short_of(x) for x in nodes], [len(s) for s in sets], profiles, [None] * len(sets), [None] * len(sets))
+        if table.any():
+            none = [None] * SLICES
+            yield _row(none, none, none, none, none, range(SLICES), [x.astype("<i8").tobytes() for x in table.reshape(SLICES, -1)])
+
+    def _row(*columns) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "node", "k", "n", "profile", "slice", "counts"])
 
-    return texts.mapInArrow(run, "id long, node binary, n long")
+    return texts.mapInArrow(run, "id long, node binary, k long, n long, profile binary, slice int, counts binary")
 
 
 def _fresh(sets: list[np.ndarray], seen: set[bytes], limit: int = 100_000) -> Iterator[tuple[int, bytes]]:
@@ -105,21 +124,13 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-def order_levels(texts: DataFrame, shingle: int) -> bytes:
-    """A level for each of 2^ORDER_BITS buckets of hashes: the logarithm of how many shingles fall there, in eighths.
+def order_levels(counts: DataFrame) -> bytes:
+    """A level for each of 2^ORDER_BITS buckets of hashes from (slice, counts): the logarithm of how many shingles fall there, in eighths.
 
-    Tasks count into tables of this fixed size, slices of which are summed in tasks again; the
-    driver gets a byte a bucket.
+    Each task has counted into a table of this fixed size; slices of those are summed in tasks
+    again, and the driver gets a byte a bucket.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros(1 << ORDER_BITS, dtype=np.int64), set()
-        for _, sets in _each(batches, 0, shingle):
-            if fresh := [sets[i] for i, _ in _fresh(sets, seen)]:
-                table += np.bincount(_bucket(np.concatenate(fresh)), minlength=len(table))
-        if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in table.reshape(SLICES, -1)], pa.binary())], names=["slice", "counts"])
-
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -128,38 +139,38 @@ def order_levels(texts: DataFrame, shingle: int) -> bytes:
         levels = [np.round(8 * np.log2(np.maximum(c, 1))).clip(0, 255).astype(np.uint8).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["slice", "levels"])
 
-    rows = texts.select("text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(total, "slice int, levels binary")
+    rows = counts.repartition("slice").mapInArrow(total, "slice int, levels binary")
     return b"".join(bytes(r["levels"]) for r in sorted(rows.collect(), key=lambda r: r["slice"]))
 
 
 def _prefixes(texts: DataFrame, shingle: int, percent: int, levels: bytes) -> DataFrame:
-    """(token, node, indexed): a node's prefix shingles; ``indexed``: also in the shorter prefix that meets larger sets."""
+    """(token, k, indexed): a node's prefix shingles; ``indexed``: also in the shorter prefix that meets larger sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(levels, dtype=np.uint8), set()
         for _, sets in _each(batches, 0, shingle):
-            tokens, nodes, indexed = [], [], []
+            tokens, short, indexed = [], [], []
             for i, node in _fresh(sets, seen):
                 s, n = sets[i], len(sets[i])
                 ordered = s[np.lexsort((s, table[_bucket(s)]))]
                 size = n - least_overlap(n, percent) + 1
                 tokens.append(ordered[:size])
-                nodes += [node] * size
+                short.append(np.full(size, short_of(node)))
                 indexed.append(np.arange(size) < n - least_overlap_upward(n, percent) + 1)
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(indexed))], names=["token", "node", "indexed"])
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(short)), pa.array(np.concatenate(indexed))], names=["token", "k", "indexed"])
 
-    return texts.select("text").mapInArrow(run, "token long, node binary, indexed boolean")
+    return texts.select("text").mapInArrow(run, "token long, k long, indexed boolean")
 
 
 def _node_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, profile, shingles) from texts; shingles and profile as binary."""
+    """(node, shingles) from texts; shingles as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _each(batches, 0, shingle):
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([profile_of(s).tobytes() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "n", "profile", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "node binary, n long, profile binary, shingles binary")
+    return texts.select("text").mapInArrow(run, "node binary, shingles binary")
 
 
 def _plausible(rows: list[tuple[bytes, int, bytes]], percent: int) -> list[tuple[bytes, int, bytes]]:
@@ -204,13 +215,36 @@ def _pruned(members: DataFrame, percent: int, part_limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), rows in _groups(batches, 1):
             if len(kept := _plausible(rows, percent)) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kept), pa.binary()), pa.array([r[0] for r in kept], pa.binary()), pa.array([r[1] for r in kept], pa.int64())], names=["shard", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kept), pa.int64()), pa.array([r[0] for r in kept], pa.binary()), pa.array([r[1] for r in kept], pa.int64())], names=["shard", "node", "n"])
 
     few = members.filter(F.col("size") <= part_limit).select("shard", "node", "n", "profile")
-    small = few.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "shard binary, node binary, n long")
+    small = few.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "shard long, node binary, n long")
     return small.union(members.filter(F.col("size") > part_limit).select("shard", "node", "n"))
 
 
+def _sharing(texts: DataFrame, shingle: int, percent: int, levels: bytes) -> DataFrame:
+    """(shard, k), stored: nodes that share a prefix shingle with another, at the smallest that has it."""
+    prefixes = stored(_prefixes(texts, shingle, percent, levels), "join-prefixes")
+    met = prefixes.groupBy("token").agg(F.min("k").alias("shard"), F.max("indexed").alias("indexed"), F.count("*").alias("weight"))
+    shared = stored(met.filter("weight > 1 and indexed").select("token", "shard", "weight"), "join-shared")
+    freed(texts.sparkSession)
+    found = stored(salted_join(prefixes.select("token", "k"), shared, "token", "weight", "k").select("shard", "k").distinct(), "join-sharing")
+    for t in (prefixes, shared):
+        discard(t)
+    return found
+
+
+def _sets_of(rows: DataFrame, of: DataFrame, wanted: DataFrame, shingle: int, limit: int = 1_000_000) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from one document each. Their ids are broadcast if they are ``limit`` (8 MB) or fewer, else joined by a shuffle."""
+    having = of.filter("node is not null").select("id", "node").join(wanted, "node", "left_semi")
+    ids = stored(having.filter("id is not null").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct(), "join-ids")
+    chosen = rows.join(F.broadcast(ids) if ids.count() <= limit else ids, "id", "left_semi")
+    if not having.filter("id is null").isEmpty():
+        chosen = chosen.unionByName(rows.filter("id is null"))
+    # rows that share an id may bring other sets along, and equal rows bring one twice
+    return _node_sets(chosen.filter("text is not null"), shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
 class InvertedLists:
     """Places of sets by shingle, each list ascending; searched by DivideSkip."""
 
@@ -384,37 +418,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class's smallest id, null if it has none. An empty table gives an empty one. A very long text
     is a long set, held by the tasks that compare it. Other columns aren't read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    of = stored(_sets(rows, shingle), "join-nodes")
-    texts = rows.filter("text is not null")
-    levels = order_levels(texts, shingle)
-    prefixes = stored(_prefixes(texts, shingle, percent, levels), "join-prefixes")
-    met = prefixes.groupBy("token").agg(F.min("node").alias("shard"), F.max("node").alias("last"), F.max("indexed").alias("indexed"), F.count("*").alias("weight"))
-    shared = stored(met.filter("shard <> last and indexed").select("token", "shard", "weight"), "join-shared")
-    members = stored(salted_join(prefixes.select("token", "node"), shared, "token", "weight", "node").select("shard", "node").distinct(), "join-members")
-    discard(prefixes)
-    discard(shared)
-    one = of.filter("id is not null").groupBy("node").agg(F.min("id").alias("id")).join(members.select("node").distinct(), "node", "left_semi")
-    nameless = of.filter("id is null").select("node").distinct().join(members.select("node").distinct(), "node", "left_semi")
-    chosen = rows.join(one.select("id").distinct(), "id", "left_semi")
-    if not nameless.isEmpty():
-        chosen = chosen.unionByName(rows.filter("id is null"))
-    # rows that share an id may bring other sets along, and equal rows bring one twice
-    sets = stored(_node_sets(chosen.filter("text is not null"), shingle).filter("n > 0").dropDuplicates(["node"]), "join-sets")
-    profiled = stored(members.join(sets.select("node", "n", "profile"), "node"), "join-profiles")
+    both = stored(_sets(rows, shingle), "join-nodes")
+    of = both.filter("slice is null").select("id", "node", "k", "n", "profile")
+    levels = order_levels(both.filter("slice is not null").select("slice", "counts"))
+    members = _sharing(rows.filter("text is not null"), shingle, percent, levels)
+    freed(spark)
+    met = of.filter("node is not null").join(members.select("k").distinct(), "k", "left_semi").dropDuplicates(["node"]).select("k", "node", "n", "profile")
+    profiled = stored(members.join(met, "k").drop("k"), "join-profiles")
     discard(members)
     kept = stored(_pruned(_sized(profiled), percent, part_limit), "join-kept")
     discard(profiled)
     again = stored(_sized(kept), "join-shards")
     discard(kept)
-    named = _components(again, sets.select("node", "shingles"), percent, part_limit)
-    classed = of.select("id", "node", "n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of.join(named, "node", "left").filter("id is not null and node is not null").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("id").alias("least"), F.count("*").alias("weight"))
-    found = stored(least, "join-least")
-    with_words = salted_join(classed.filter("node is not null"), found, "component", "weight", "id").select("id", "n", "least")
-    lone = of.filter("id is null and node is not null").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).join(found, "component", "left_anti").select("id", "n", F.lit(None).cast("long").alias("least"))
-    without = of.filter("node is null").select("id", "n", F.col("id").alias("least"))
-    return with_words.union(lone).union(without).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    freed(spark)
+    sets = stored(_sets_of(rows, of, again.select("node").distinct(), shingle), "join-sets")
+    freed(spark)
+    named = _components(again, sets, percent, part_limit)
+    # every node once, with its rows' number; then a class's smallest id, and that for every row
+    nodes = of.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("weight")).join(named, "node", "left")
+    nodes = stored(nodes.withColumn("component", F.coalesce("component", "node")), "join-named")
+    least = stored(nodes.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members")), "join-least")
+    by_node = stored(salted_join(nodes.select("node", "component", "weight"), least, "component", "members", "node").select("node", "least", "weight"), "join-classes")
+    found = salted_join(of.filter("node is not null").select("id", "node", "n"), by_node, "node", "weight", "id").select("id", "n", "least")
+    wordless = of.filter("node is null").select("id", "n", F.col("id").alias("least"))
+    return found.union(wordless).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def op11_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -14,17 +14,16 @@ by a banded alignment. The ranges are aligned by bit-parallel edit distance.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import salted_join, stored, unused
+from shelfwise.llm.common import freed, salted_join, stored, unused
 
 #: A window below SEED_WORDS keeps a seed of those that lie across the point where two pieces meet.
 SEED_WORDS, WINDOW = 6, 4
@@ -311,12 +310,6 @@ def _ends(words: list[np.ndarray], cuts: list[int], turn: int) -> tuple[np.ndarr
     return found, np.array([len(x) for x in sides])
 
 
-def _freed(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of tables that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, place, ref_id, ref_place): seeds of a document that an earlier one has.
 
@@ -327,11 +320,11 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     for part in range(PASSES):
         found = seeds(texts, k, window, run_words, part, PASSES)
         firsts = stored(found.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-        _freed(spark)
+        freed(spark)
         kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "ref_id", "ref_place"), "met")
         met = kept if met is None else met.union(kept)
         found = firsts = None
-        _freed(spark)
+        freed(spark)
     runs = met.filter("run is not null")
     by_run = stored(runs.groupBy("run").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "runs")
     # most runs lead where their seeds lead
@@ -462,11 +455,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     if not several.isEmpty():
         texts = texts.join(several, "doc_id", "left").filter("least is null or xxhash64(text) = least").drop("least").dropDuplicates(["doc_id"])
     found = stored(_chained(matched_places(texts, k, window, min_words), k), "passages")
-    _freed(docs.sparkSession)
+    freed(docs.sparkSession)
     here = found.select(F.col("doc_id").alias("id"), F.col("start").alias("lo"), F.col("end").alias("hi"))
     there = found.select(F.col("ref_id").alias("id"), F.col("ref_start").alias("lo"), F.col("ref_end").alias("hi"))
     slices = stored(_slices(texts, here.union(there).distinct(), MARGIN), "slices")
-    _freed(docs.sparkSession)
+    freed(docs.sparkSession)
     a = slices.select(F.col("id").alias("doc_id"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("words").alias("a"), F.col("from").alias("a0"))
     b = slices.select(F.col("id").alias("ref_id"), F.col("lo").alias("ref_start"), F.col("hi").alias("ref_end"), F.col("words").alias("b"), F.col("from").alias("b0"))
     both = found.join(a, ["doc_id", "start", "end"]).join(b, ["ref_id", "ref_start", "ref_end"])
