@@ -5,10 +5,10 @@ the other is no smaller, at least 2 p n / (100 + p). So in any fixed order of al
 few of both, their prefixes, share one. The order here puts rare shingles first (by counts in a table
 of fixed size, so it is the same everywhere), which leaves few sets with a prefix shingle in common.
 
-1. Texts with equal sets are one node. Nodes meet by prefix shingle; each shingle's nodes go to the
-   shard of the smallest of them, so any two nodes that can be alike are in one shard, and a group of
-   near copies, which share many prefix shingles, is a few shards and not many.
-2. Nodes that no other node of their shard can resemble, by the shingles' counts in 64 buckets, go.
+1. Texts with equal sets are one node. Nodes meet by prefix shingle and size class; those that meet
+   go to the shard of the smallest of them, so any two nodes that can be alike are in one shard, and
+   a group of near copies, which share many prefix shingles, is a few shards and not many.
+2. Nodes that no other node of their shard can resemble, by the shingles' counts in buckets, go.
 3. A shard is searched by DivideSkip: every shingle has an inverted list; of a query's lists the
    longest are put aside, the others are merged by a heap that skips what cannot reach the number
    still asked for, and the survivors are looked up in the long lists by binary search. A node is
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import by_bytes, discard, freed, salted_join, stored
@@ -36,9 +36,9 @@ from shelfwise.llm.components import connected_components
 from shelfwise.llm.substring_dedup import WordHasher
 
 #: Buckets that shingles are counted in for their order, and the slices that the table is summed in.
-ORDER_BITS, SLICES = 18, 16
-#: Buckets of a set's profile.
-PROFILE = 64
+ORDER_BITS, SLICES = 20, 64
+#: Logarithms of the fewest and most buckets of a set's profile; between them there are about 8 shingles a bucket.
+PROFILE_BITS = (4, 12)
 #: Sets that a task holds at a time, and how willingly DivideSkip puts lists aside (the smaller, the more).
 PART_LIMIT, WILLING = 512, 0.0085
 
@@ -76,7 +76,15 @@ def least_overlap_upward(n: int, percent: int) -> int:
 
 
 def profile_of(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype("<u4")
+    """How many shingles fall to each of a power of two of buckets, the more the larger the set."""
+    low, high = PROFILE_BITS
+    bits = min(high, max(low, (len(shingles) // 8).bit_length()))
+    return np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype("<u4")
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets that can resemble each other are in one class or in neighbouring ones."""
+    return F.floor(F.ln(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
 def _each(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -101,7 +109,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             yield _row(batch.column(0), nodes, [None if x is None else short_of(x) for x in nodes], [len(s) for s in sets], profiles, [None] * len(sets), [None] * len(sets))
         if table.any():
             none = [None] * SLICES
-            yield _row(none, none, none, none, none, range(SLICES), [x.astype("<i8").tobytes() for x in table.reshape(SLICES, -1)])
+            yield _row(none, none, none, none, none, range(SLICES), [x.astype("<u4").tobytes() for x in table.reshape(SLICES, -1)])
 
     def _row(*columns) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
@@ -135,7 +143,7 @@ def order_levels(counts: DataFrame) -> bytes:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype="<i8")
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw, dtype="<u4").astype(np.int64)
         levels = [np.round(8 * np.log2(np.maximum(c, 1))).clip(0, 255).astype(np.uint8).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["slice", "levels"])
 
@@ -144,23 +152,24 @@ def order_levels(counts: DataFrame) -> bytes:
 
 
 def _prefixes(texts: DataFrame, shingle: int, percent: int, levels: bytes) -> DataFrame:
-    """(token, k, indexed): a node's prefix shingles; ``indexed``: also in the shorter prefix that meets larger sets."""
+    """(token, k, n, indexed): a node's prefix shingles; ``indexed``: also in the shorter prefix that meets larger sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(levels, dtype=np.uint8), set()
         for _, sets in _each(batches, 0, shingle):
-            tokens, short, indexed = [], [], []
+            tokens, short, sizes, indexed = [], [], [], []
             for i, node in _fresh(sets, seen):
                 s, n = sets[i], len(sets[i])
                 ordered = s[np.lexsort((s, table[_bucket(s)]))]
                 size = n - least_overlap(n, percent) + 1
                 tokens.append(ordered[:size])
                 short.append(np.full(size, short_of(node)))
+                sizes.append(np.full(size, n, dtype=np.int32))
                 indexed.append(np.arange(size) < n - least_overlap_upward(n, percent) + 1)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(short)), pa.array(np.concatenate(indexed))], names=["token", "k", "indexed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(short)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(indexed))], names=["token", "k", "n", "indexed"])
 
-    return texts.select("text").mapInArrow(run, "token long, k long, indexed boolean")
+    return texts.select("text").mapInArrow(run, "token long, k long, n int, indexed boolean")
 
 
 def _node_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -174,18 +183,29 @@ def _node_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _plausible(rows: list[tuple[bytes, int, bytes]], percent: int) -> list[tuple[bytes, int, bytes]]:
-    """The nodes (node, n, profile) that another one may resemble: sets share no more than the smaller counts of each bucket."""
+    """The nodes (node, n, profile) that another one may resemble: sets share no more than the smaller counts of each bucket.
+
+    A profile is halved to meet one with half its buckets; sets of like sizes are no further apart.
+    """
     n = np.array([r[1] for r in rows], dtype=np.int64)
-    profiles = np.array([np.frombuffer(r[2], dtype="<u4") for r in rows], dtype=np.int64)
+    profiles = [np.frombuffer(r[2], dtype="<u4").astype(np.int64) for r in rows]
+    width = np.array([len(p) for p in profiles])
+    at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    whole = {w: np.array([profiles[i] for i in places]) for w, places in at.items()}
+    half = lambda p: p[..., : p.shape[-1] // 2] + p[..., p.shape[-1] // 2 :]
     alive = np.zeros(len(rows), dtype=bool)
-    for i in range(len(rows)):
-        if not alive[i]:
-            shared = np.minimum(profiles, profiles[i]).sum(axis=1)
-            fits = 100 * shared >= percent * (n + n[i] - shared)
-            fits[i] = False
-            if fits.any():
-                alive[i] = True
-                alive |= fits
+    for i, mine in enumerate(profiles):
+        if alive[i]:
+            continue
+        for w in (len(mine) // 2, len(mine), 2 * len(mine)):
+            if w in at:
+                others, own = (half(whole[w]), mine) if w > len(mine) else (whole[w], half(mine) if w < len(mine) else mine)
+                shared = np.minimum(others, own).sum(axis=1)
+                fits = 100 * shared >= percent * (n[at[w]] + n[i] - shared)
+                fits &= at[w] != i
+                if fits.any():
+                    alive[i] = True
+                    alive[at[w][fits]] = True
     return [r for r, a in zip(rows, alive.tolist(), strict=True) if a]
 
 
@@ -223,21 +243,32 @@ def _pruned(members: DataFrame, percent: int, part_limit: int) -> DataFrame:
 
 
 def _sharing(texts: DataFrame, shingle: int, percent: int, levels: bytes) -> DataFrame:
-    """(shard, k), stored: nodes that share a prefix shingle with another, at the smallest that has it."""
+    """(shard, k), stored: nodes that share a prefix shingle with another of about their size, in the shard of the smallest that has it.
+
+    A node meets larger ones in its own size class, and smaller ones in that or the one below.
+    """
     prefixes = stored(_prefixes(texts, shingle, percent, levels), "join-prefixes")
-    met = prefixes.groupBy("token").agg(F.min("k").alias("shard"), F.max("indexed").alias("indexed"), F.count("*").alias("weight"))
-    shared = stored(met.filter("weight > 1 and indexed").select("token", "shard", "weight"), "join-shared")
+    met = prefixes.groupBy("token").agg(F.max("indexed").alias("indexed"), F.count("*").alias("weight"))
+    shared = stored(met.filter("weight > 1 and indexed").select("token", "weight"), "join-shared")
     freed(texts.sparkSession)
-    found = stored(salted_join(prefixes.select("token", "k"), shared, "token", "weight", "k").select("shard", "k").distinct(), "join-sharing")
+    own = size_class(F.col("n"), percent)
+    live = salted_join(prefixes, shared, "token", "weight", "k").select("token", "k", "indexed", F.explode(F.array(own, own - 1)).alias("class"), own.alias("own"))
+    live = stored(live.select("token", "k", "class", (F.col("indexed") & (F.col("class") == F.col("own"))).alias("indexed")), "join-live")
     for t in (prefixes, shared):
         discard(t)
+    freed(texts.sparkSession)
+    groups = live.groupBy("token", "class").agg(F.min("k").alias("least"), F.max("indexed").alias("indexed"), F.count("*").alias("weight")).filter("weight > 1 and indexed")
+    keyed = stored(groups.select(F.xxhash64("token", "class").alias("group"), F.xxhash64("least", "class").alias("shard"), "weight").groupBy("group").agg(F.min("shard").alias("shard"), F.sum("weight").alias("weight")), "join-groups")
+    found = stored(salted_join(live.select("k", F.xxhash64("token", "class").alias("group")), keyed, "group", "weight", "k").select("shard", "k").distinct(), "join-sharing")
+    for t in (live, keyed):
+        discard(t)
     return found
 
 
-def _sets_of(rows: DataFrame, of: DataFrame, wanted: DataFrame, shingle: int, limit: int = 1_000_000) -> DataFrame:
+def _sets_of(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int, limit: int = 1_000_000) -> DataFrame:
     """(node, shingles) of the wanted nodes, from one document each. Their ids are broadcast if they are ``limit`` (8 MB) or fewer, else joined by a shuffle."""
-    having = of.filter("node is not null").select("id", "node").join(wanted, "node", "left_semi")
-    ids = stored(having.filter("id is not null").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct(), "join-ids")
+    having = nodes.select("id", "node").join(wanted, "node", "left_semi")
+    ids = stored(having.filter("id is not null").select("id").distinct(), "join-ids")
     chosen = rows.join(F.broadcast(ids) if ids.count() <= limit else ids, "id", "left_semi")
     if not having.filter("id is null").isEmpty():
         chosen = chosen.unionByName(rows.filter("id is null"))
@@ -425,7 +456,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = order_levels(both.filter("slice is not null").select("slice", "counts"))
     members = _sharing(rows.filter("text is not null"), shingle, percent, levels)
     freed(spark)
-    met = of.filter("node is not null").join(members.select("k").distinct(), "k", "left_semi").dropDuplicates(["node"]).select("k", "node", "n", "profile")
+    nodes = of.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in ("k", "n", "profile")])
+    nodes = stored(nodes, "join-distinct")
+    met = nodes.select("k", "node", "n", "profile")
     profiled = stored(members.join(met, "k").drop("k"), "join-profiles")
     discard(members)
     kept = stored(_pruned(_sized(profiled), percent, part_limit), "join-kept")
@@ -433,14 +466,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = stored(_sized(kept), "join-shards")
     discard(kept)
     freed(spark)
-    sets = stored(_sets_of(rows, of, again.select("node").distinct(), shingle), "join-sets")
+    sets = stored(_sets_of(rows, nodes, again.select("node").distinct(), shingle), "join-sets")
     freed(spark)
     named = _components(again, sets, percent, part_limit)
-    # every node once, with its rows' number; then a class's smallest id, and that for every row
-    nodes = of.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("weight")).join(named, "node", "left")
-    nodes = stored(nodes.withColumn("component", F.coalesce("component", "node")), "join-named")
-    least = stored(nodes.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members")), "join-least")
-    by_node = stored(salted_join(nodes.select("node", "component", "weight"), least, "component", "members", "node").select("node", "least", "weight"), "join-classes")
+    # a class's smallest id, and that for every row
+    classed = stored(nodes.select("node", "id", "weight").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-named")
+    least = stored(classed.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("members")), "join-least")
+    by_node = stored(salted_join(classed.select("node", "component", "weight"), least, "component", "members", "node").select("node", "least", "weight"), "join-classes")
     found = salted_join(of.filter("node is not null").select("id", "node", "n"), by_node, "node", "weight", "id").select("id", "n", "least")
     wordless = of.filter("node is null").select("id", "n", F.col("id").alias("least"))
     return found.union(wordless).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
