@@ -50,6 +50,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return found
 
 
+def stored_parts(df: DataFrame, column: str, what: str, parts: int) -> list[DataFrame]:
+    """``stored`` in parts by a column of numbers from 0, each of which can be read and discarded by itself, without that column."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    whole = df.sparkSession.read.schema(df.schema).parquet(path)
+    found = [whole.filter(F.col(column) == i).drop(column) for i in range(parts)]
+    for i, part in enumerate(found):
+        part._stored_at = f"{path}/{column}={i}"
+    return found
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``stored`` table that nothing will read again; others are left alone."""
     if path := getattr(df, "_stored_at", None):
@@ -110,16 +121,19 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_by: str, share: int = 1000, ways: int = 64) -> DataFrame:
-    """Inner join on ``key`` whose hot keys are dealt to ``ways`` tasks each.
+def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_by: str) -> DataFrame:
+    """Inner join on ``key`` whose hot keys are dealt to several tasks each.
 
-    ``right`` is stored, has a key once and in ``weight`` the left rows that have it. Keys with
-    more than one ``share``-th of those rows are hot: fewer than ``share`` keys, whatever the
-    data, so they are broadcast to mark the rows. ``weight`` isn't returned.
+    ``right`` is stored, has a key once and in ``weight`` the left rows that have it. A key with more
+    rows than half a shuffle partition holds on average is hot, and is dealt to a task for each half.
+    Those keys are fewer than twice the shuffle partitions, whatever the data, so they are
+    broadcast to mark the rows. ``weight`` isn't returned.
     """
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(right.filter(F.col(weight) * share > total).select(key, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(ways)).cast("int")).otherwise(0)
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot", weight), [key, "_salt"]).drop("_salt")
+    fair = max(1000, -(-total // (2 * partitions)))
+    hot = F.broadcast(right.filter(F.col(weight) > fair).select(key, F.ceil(F.col(weight) / fair).cast("int").alias("_ways")))
+    salt = F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_ways")).cast("int"), F.lit(0))
+    salts = F.coalesce(F.sequence(F.lit(0), F.col("_ways") - 1), F.array(F.lit(0)))
+    salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_ways")
+    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_ways", weight), [key, "_salt"]).drop("_salt")

@@ -8,6 +8,7 @@ only: case is folded and ASCII signs and digits become blanks before texts are e
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,18 +23,28 @@ BLOCK = 8192
 #: A prediction whose runner-up is less than this share larger is marked as rejected.
 MIN_MARGIN = 0.01
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's letters (L) occurs; numerals such as a half or a Roman five are none."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _WORDLY.finditer(text))
+
+
 def letters(text: str) -> bytes:
     """Lower-case UTF-8 with ASCII signs, digits and controls as blanks."""
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split())
 
 
+def in_sample(order: Column, rows: Column, limit: int) -> Column:
+    """Whether a row is among about ``limit`` of so many rows. In doubles: a product of longs would overflow from 2^23 rows on."""
+    return F.pmod(order, F.lit(1 << 40)).cast("double") * rows.cast("double") < float(limit) * (1 << 40)
+
+
 def sample_window(text: Column, key: Column, chars: int) -> Column:
     """A window of ``chars`` characters of the text, at a place that a hash of ``key`` gives; a shorter text is taken whole."""
     room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
@@ -52,7 +63,7 @@ def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     # a count leaves about three times the sample of each language, wherever it lies: no task sees more
     counts = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("all")))  # a row for each language that gets a dictionary
     order = salted_order(F.col("id"), 11)
-    few = rows.join(counts, "lang").filter(F.pmod(order, F.lit(1 << 40)) * F.col("all") < 3 * sample_docs * float(1 << 40))
+    few = rows.join(counts, "lang").filter(in_sample(order, F.col("all"), 3 * sample_docs))
     windows = few.select("lang", order.alias("h"), "id", sample_window(F.col("text"), F.col("id"), 2 * sample_bytes).alias("text"))
     picked = windows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).filter(F.col("n") <= sample_docs)
     found: dict[str, list[bytes]] = {}
@@ -73,7 +84,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin of the runner-up over the winner)."""
-        if text is None or not self.tries or not _LETTER.search(text):
+        if text is None or not self.tries or not has_letter(text):
             return "und", 0.0, 0.0
         raw = b" " + letters(text) + b" "  # words at the ends match as others do
         parts = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
@@ -89,7 +100,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     ``und`` for a null text or one without a letter, or when no dictionary was learned; such rows
     and narrow margins are ``rejected``. Ties go to the language that comes first by name. Columns of
-    these names in ``docs`` are replaced; all rows are kept, repeated ones with equal results.
+    these names in ``docs`` are replaced; all rows are kept, repeated ones with equal results. An empty
+    table stays empty. A very long text is encoded block by block.
     """
     kept = docs.drop("lang_pred", "score", "rejected")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, rejected boolean"

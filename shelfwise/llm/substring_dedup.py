@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import freed, salted_join, stored, unused
+from shelfwise.llm.common import discard, freed, salted_join, stored, stored_parts, unused
 
 #: A window below SEED_WORDS keeps a seed of those that lie across the point where two pieces meet.
 SEED_WORDS, WINDOW = 6, 4
@@ -31,8 +31,8 @@ SEED_WORDS, WINDOW = 6, 4
 MIN_WORDS, MIN_IDENTITY = 40, 0.8
 #: Words that may lie between two matches of a passage, and what a word of gap costs in matches.
 MAX_GAP, GAP_COST = 48, 0.01
-#: Seeds are matched in so many passes by their hash, so that the disk holds one pass's shuffle files at a time.
-PASSES = 4
+#: Seeds are written once, in so many parts by their hash, and matched part by part, so that the disk holds one part's shuffle files at a time.
+PARTS = 4
 #: Words beyond a chain's end that are looked at, inserted or left-out words followed there, the
 #: loss in value at which that ends, and what an edit costs in equal words.
 MARGIN, BAND, DROP, EDIT_COST = 48, 8, 24, 3
@@ -138,8 +138,8 @@ def _limited(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterato
             at = end
 
 
-def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS, part: int = 0, parts: int = 1) -> DataFrame:
-    """(seed, doc_id, place, run) from (doc_id, text), of the seeds whose hash falls to ``part``.
+def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS, parts: int = PARTS) -> DataFrame:
+    """(seed, doc_id, place, run, part) from (doc_id, text); part is the seed's hash modulo ``parts``.
 
     The number of a seed's earlier occurrences in that row is mixed into it; run is the hash of
     the ``run_words`` words from there on, null if there are fewer.
@@ -152,17 +152,16 @@ def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words:
             sizes = np.array([len(w) for w in words])
             flat = np.concatenate(words)
             row, place, seed = minimizers(flat, sizes, k, window)
-            mine = seed.view(np.uint64) % np.uint64(parts) == part
-            row, place, seed = row[mine], place[mine], seed[mine]
             begin = np.cumsum(sizes) - sizes
             room = place + run_words <= sizes[row]
             long = np.zeros(len(seed), dtype=np.int64)
             long[room] = run_hashes(flat, (begin[row] + place)[room], run_words)
             nth = occurrence(row, seed, place).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            columns = [pa.array((seed.view(np.uint64) ^ nth).view(np.int64), pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(long, pa.int64(), mask=~room)]
-            yield pa.RecordBatch.from_arrays(columns, names=["seed", "doc_id", "place", "run"])
+            part = (seed.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            columns = [pa.array((seed.view(np.uint64) ^ nth).view(np.int64), pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(long, pa.int64(), mask=~room), pa.array(part, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "doc_id", "place", "run", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, run long")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, run long, part int")
 
 
 class PrefixMax:
@@ -317,13 +316,14 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     ``run_words`` words from there on stand in an earlier document, the first that has them.
     """
     spark, met = texts.sparkSession, None
-    for part in range(PASSES):
-        found = seeds(texts, k, window, run_words, part, PASSES)
+    parts = stored_parts(seeds(texts, k, window, run_words), "part", "seeds", PARTS)
+    for found in parts:
         firsts = stored(found.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "firsts")
         freed(spark)
         kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "ref_id", "ref_place"), "met")
         met = kept if met is None else met.union(kept)
-        found = firsts = None
+        for t in (found, firsts):
+            discard(t)
         freed(spark)
     runs = met.filter("run is not null")
     by_run = stored(runs.groupBy("run").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "runs")
@@ -399,6 +399,7 @@ def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
 
 def _aligned(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     names = ["doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "edits"]
+    allowed = round((1 - min_identity) * 10**9)  # in integers: 1 - 0.8 is a little less than a fifth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,7 +421,7 @@ def _aligned(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
                         continue
                     lo, hi, rlo, rhi = s[row] - i[at], e[row] + u[at], rs[row] - j[at], re_[row] + v[at]
                     edits = edit_distance(a[row][lo:hi], b[row][rlo:rhi])
-                    if edits <= (1 - min_identity) * max(size, rhi - rlo):
+                    if edits * 10**9 <= allowed * max(size, rhi - rlo):
                         out.append((d[row], a0[row] + lo, a0[row] + hi, r[row], b0[row] + rlo, b0[row] + rhi, edits))
                     elif cost in DEARER:  # ends that take too many edits in are looked for again, last over equal words only
                         waiting.setdefault(DEARER[cost], []).append(row)
@@ -462,8 +463,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     freed(docs.sparkSession)
     a = slices.select(F.col("id").alias("doc_id"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("words").alias("a"), F.col("from").alias("a0"))
     b = slices.select(F.col("id").alias("ref_id"), F.col("lo").alias("ref_start"), F.col("hi").alias("ref_end"), F.col("words").alias("b"), F.col("from").alias("b0"))
-    both = found.join(a, ["doc_id", "start", "end"]).join(b, ["ref_id", "ref_start", "ref_end"])
-    aligned = _aligned(both.select("doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "a", "a0", "b", "b0"), min_words, min_identity)
+    # one passage that many documents repeat is the reference of as many rows: deal those
+    met = found.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end"))
+    sides = stored(met.groupBy("side").agg(F.count("*").alias("weight")), "sides")
+    there = stored(b.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end")).join(sides, "side"), "there")
+    theirs = there.select("side", "weight", *[F.col(c).alias(f"_{c}") for c in ("ref_id", "ref_start", "ref_end")], "b", "b0")
+    joined = salted_join(met, theirs, "side", "weight", "doc_id").filter("ref_id = _ref_id and ref_start = _ref_start and ref_end = _ref_end")
+    both = joined.join(a, ["doc_id", "start", "end"])
+    aligned = stored(_aligned(both.select("doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "a", "a0", "b", "b0"), min_words, min_identity), "aligned")
+    for t in (found, slices, sides, there):
+        discard(t)
+    freed(docs.sparkSession)
     # chains of one pair that were widened to the same passage are one row
     earlier = Window.partitionBy("doc_id", "ref_id").orderBy("start", F.desc("end"), "ref_start", "ref_end").rowsBetween(Window.unboundedPreceding, -1)
     return aligned.withColumn("upto", F.max("end").over(earlier)).filter("upto is null or end > upto").drop("upto")

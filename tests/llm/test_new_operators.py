@@ -262,3 +262,27 @@ def test_no_piece_is_longer_than_a_unit_asks(spark):
 @pytest.mark.parametrize("name", ["op11_jaccard_join", "op12_periodic_runs", "op13_fill_in_middle"])
 def test_empty_table(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, written(spark, tmp_path, [])).collect() == []
+
+
+# ---- op8
+
+
+def test_sample_of_ten_billion_rows_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.llm.langid import in_sample
+
+    orders = spark.createDataFrame([(0,), (10**4,), ((1 << 40) - 1,)], "h long")
+    assert [r[0] for r in orders.select(in_sample(F.col("h"), F.lit(10**10), 384)).collect()] == [True, True, False]
+
+
+def test_language_of_letters_only_and_of_clashing_columns(spark):
+    from shelfwise.llm.langid import fit_dictionaries, identify
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(1, "\u00b2 \u00bd \u2460 \u2167 12"), (2, "\u00e9"), (3, None), (4, "the and with that which from ")]
+    asked = spark.createDataFrame([(*r, 7.5, "x", True) for r in rows], "doc_id long, text string, score double, Lang_Pred string, rejected boolean")
+    found = {r["doc_id"]: r for r in identify(asked, fit_dictionaries(docs)).collect()}
+    assert [found[i]["lang_pred"] == "und" for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and len(found[1]) == 5
+    assert identify(asked.limit(0), {}).count() == 0
