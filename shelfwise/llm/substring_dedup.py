@@ -97,9 +97,10 @@ def minimizers(flat: np.ndarray, sizes: np.ndarray, k: int, window: int) -> tupl
     return row[at], place[at], seed[at].view(np.int64)
 
 
-def occurrence(row: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """How many rows with smaller places share a row's key."""
-    order = np.lexsort((place, key, row))
+def occurrence(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How many rows with smaller places share a row's key. Rows come in order of row and place."""
+    both = key.view(np.uint64) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both, kind="stable")
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
     starts = np.flatnonzero(fresh)
@@ -156,7 +157,7 @@ def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words:
             room = place + run_words <= sizes[row]
             long = np.zeros(len(seed), dtype=np.int64)
             long[room] = run_hashes(flat, (begin[row] + place)[room], run_words)
-            nth = occurrence(row, seed, place).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            nth = occurrence(row, seed).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             part = (seed.view(np.uint64) % np.uint64(parts)).astype(np.int32)
             columns = [pa.array((seed.view(np.uint64) ^ nth).view(np.int64), pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(long, pa.int64(), mask=~room), pa.array(part, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["seed", "doc_id", "place", "run", "part"])
@@ -314,13 +315,15 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
 
     Each occurrence of a seed meets the first document that has it so often and, if the
     ``run_words`` words from there on stand in an earlier document, the first that has them.
+    The stored tables that the result reads are listed in its ``_made_of``, to be discarded.
     """
-    spark, met = texts.sparkSession, None
+    spark, met, tables = texts.sparkSession, None, []
     parts = stored_parts(seeds(texts, k, window, run_words), "part", "seeds", PARTS)
     for found in parts:
         firsts = stored(found.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "firsts")
         freed(spark)
         kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "ref_id", "ref_place"), "met")
+        tables.append(kept)
         met = kept if met is None else met.union(kept)
         for t in (found, firsts):
             discard(t)
@@ -330,7 +333,9 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     # most runs lead where their seeds lead
     others = salted_join(runs.select("run", "doc_id", "place", F.col("ref_id").alias("known")), by_run, "run", "n", "doc_id").filter("ref_id <> known")
     columns = ["doc_id", "place", "ref_id", "ref_place"]
-    return met.select(*columns).union(others.select(*columns)).filter("doc_id <> ref_id")
+    matches = met.select(*columns).union(others.select(*columns)).filter("doc_id <> ref_id")
+    matches._made_of = [*tables, by_run]
+    return matches
 
 
 def _chained(matches: DataFrame, k: int) -> DataFrame:
@@ -380,14 +385,19 @@ def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            out, parts = [], [np.empty(0, dtype=np.int32)]
-            for own, ranges, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            ranges, parts, lows = batch.column(1), [np.empty(0, dtype=np.int32)], []
+            sizes = pa.compute.list_value_length(ranges).to_numpy(zero_copy_only=False)
+            flat = ranges.flatten()
+            lo, hi = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi"))
+            at = 0
+            for size, text in zip(sizes.tolist(), batch.column(2), strict=True):
                 short = hasher.hashes(text.as_py()).astype(np.uint32).view(np.int32)
-                for r in ranges:
-                    low = max(0, r["lo"] - margin)
-                    parts.append(short[low : r["hi"] + margin])
-                    out.append((own, r["lo"], r["hi"], low))
-            own, lo, hi, low = (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4))
+                for low, high in zip(np.maximum(lo[at : at + size] - margin, 0).tolist(), hi[at : at + size].tolist(), strict=True):
+                    parts.append(short[low : high + margin])
+                    lows.append(low)
+                at += size
+            own = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes), pa.int64()))
+            lo, hi, low = (pa.array(x, pa.int64()) for x in (lo, hi, lows))
             ends = np.cumsum([len(x) for x in parts])
             words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
             yield pa.RecordBatch.from_arrays([own, lo, hi, words, low], names=["id", "lo", "hi", "words", "from"])
@@ -455,7 +465,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     several = several_texts(texts)
     if not several.isEmpty():
         texts = texts.join(several, "doc_id", "left").filter("least is null or xxhash64(text) = least").drop("least").dropDuplicates(["doc_id"])
-    found = stored(_chained(matched_places(texts, k, window, min_words), k), "passages")
+    matches = matched_places(texts, k, window, min_words)
+    found = stored(_chained(matches, k), "passages")
+    for t in matches._made_of:
+        discard(t)
     freed(docs.sparkSession)
     here = found.select(F.col("doc_id").alias("id"), F.col("start").alias("lo"), F.col("end").alias("hi"))
     there = found.select(F.col("ref_id").alias("id"), F.col("ref_start").alias("lo"), F.col("ref_end").alias("hi"))
@@ -466,12 +479,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     # one passage that many documents repeat is the reference of as many rows: deal those
     met = found.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end"))
     sides = stored(met.groupBy("side").agg(F.count("*").alias("weight")), "sides")
-    there = stored(b.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end")).join(sides, "side"), "there")
+    there = b.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end")).join(sides, "side")
     theirs = there.select("side", "weight", *[F.col(c).alias(f"_{c}") for c in ("ref_id", "ref_start", "ref_end")], "b", "b0")
     joined = salted_join(met, theirs, "side", "weight", "doc_id").filter("ref_id = _ref_id and ref_start = _ref_start and ref_end = _ref_end")
     both = joined.join(a, ["doc_id", "start", "end"])
     aligned = stored(_aligned(both.select("doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "a", "a0", "b", "b0"), min_words, min_identity), "aligned")
-    for t in (found, slices, sides, there):
+    for t in (found, slices, sides):
         discard(t)
     freed(docs.sparkSession)
     # chains of one pair that were widened to the same passage are one row
