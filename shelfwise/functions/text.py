@@ -5,9 +5,6 @@ All are built-in expressions; ``(?U)`` gives Java's ``\\s`` and ``\\w`` their Un
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,54 +190,63 @@ def extract_json_block(reply: Column) -> Column:
     return F.when((begin > 0) & (F.locate("}", reply) > 0) & (end >= begin), F.substring(reply, begin, end - begin + 1))
 
 
-def tidy_json(block: Column) -> Column:
-    """Control characters and trailing commas out, missing commas in."""
-    block = F.regexp_replace(block, r"[\x00-\x1f\x7f]", " ")
-    block = F.regexp_replace(block, r",\s*([\]\}])", "$1")
-    block = F.regexp_replace(block, r"([\}\]])\s*([\{\[])", "$1,$2")
-    return F.regexp_replace(block, r'("[^"]*")\s+(")', "$1,$2")
+#: Stands for a string literal while a block's structure is repaired. Control characters are out of the block by then.
+HELD = "\x01"
+LITERAL = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def held_apart(block: Column) -> Column:
+    """Struct of a block's skeleton, with a mark for each whole string literal, and those literals in order."""
+    block = F.regexp_replace(block, r"\p{Cntrl}", " ")
+    return F.struct(F.regexp_replace(block, LITERAL, HELD).alias("skeleton"), F.regexp_extract_all(block, F.lit(LITERAL), F.lit(0)).alias("literals"))
+
 
+def put_back(held: Column) -> Column:
+    """The text of ``held_apart``'s struct: the literals take the places of the marks."""
+    return F.array_join(F.transform(F.split(held["skeleton"], HELD, -1), lambda x, i: F.concat(x, F.coalesce(F.get(held["literals"], i), F.lit("")))), "")
 
-def closed_json(s: str | None) -> str | None:
-    """Ends an open string and closes open brackets."""
-    if s is None:
-        return None
-    open_, inside, skip = [], False, False
-    for c in s:
-        if skip:
-            skip = False
-        elif inside:
-            skip, inside = c == "\\", c != '"'
-        elif c == '"':
-            inside = True
-        elif c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif open_ and c == open_[-1]:
-            open_.pop()
-    return s + '"' * inside + "".join(reversed(open_))
 
+def mended(held: Column) -> Column:
+    """Commas before a closing bracket go; commas between neighbouring values come in; a key that lacks its value gets null."""
+    bones = F.regexp_replace(held["skeleton"], r"(?:,\s*)+(?=[}\]])", "")
+    bones = F.regexp_replace(bones, rf"(?<=[}}\]])\s*(?=[\[{{{HELD}])|(?<={HELD})\s+(?={HELD})", ",")
+    bones = F.regexp_replace(bones, rf"([{{,]\s*{HELD})\s*:?\s*(?=}})", "$1:null")
+    return F.struct(bones.alias("skeleton"), held["literals"].alias("literals"))
 
-def close_json(block: Column) -> Column:
-    """closed_json by Arrow batches. Only for blocks that don't parse as they are."""
 
-    def run(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in blocks:
-            yield b.map(closed_json)
+def completed(held: Column) -> Column:
+    """A block that breaks off: its open string is a literal too, without a lone backslash at its end, and open brackets are closed.
+
+    The brackets that are open are the state of a fold over the brackets outside strings, innermost first.
+    """
+    cut = F.locate('"', held["skeleton"])
+    head = F.when(cut > 0, F.substring(held["skeleton"], F.lit(1), cut - 1)).otherwise(held["skeleton"])
+    rest = F.regexp_replace(F.substring(held["skeleton"], cut, F.length(held["skeleton"])), r"(?s)^((?:[^\\]|\\.)*+)\\?$", '$1"')
+
+    def step(open_: Column, c: Column) -> Column:
+        return F.when(c == "{", F.concat(F.lit("}"), open_)).when(c == "[", F.concat(F.lit("]"), open_)).when((c != "") & (F.substring(open_, 1, 1) == c), F.substring(open_, F.lit(2), F.length(open_))).otherwise(open_)
 
-    return F.pandas_udf(run, "string")(block)
+    closing = F.aggregate(F.split(F.regexp_replace(head, r"[^\[\]{}]", ""), ""), F.lit(""), step)
+    skeleton = F.concat(head, F.when(cut > 0, HELD).otherwise(""), closing)
+    return F.struct(skeleton.alias("skeleton"), F.when(cut > 0, F.concat(held["literals"], F.array(rest))).otherwise(held["literals"]).alias("literals"))
 
 
 def repair_json(reply: Column) -> Column:
-    """The reply's JSON object as text: as it is, tidied or closed, whichever first parses; else null.
+    """The reply's JSON object as text: as it is, mended, or completed and mended, whichever first parses; else null.
 
-    The block may lack its closing braces, so it runs to the reply's end when no brace closes it.
+    String literals are held apart while the rest is repaired, so what stands inside them isn't
+    touched. A block may lack its closing braces, so it is completed from its first brace to the
+    reply's end. All of it is built-in expressions.
     """
-    whole = F.coalesce(extract_json_block(reply), F.when(F.locate("{", reply) > 0, F.substring(reply, F.locate("{", reply), F.length(reply))))
+    tail = F.when(F.locate("{", reply) > 0, F.substring(reply, F.locate("{", reply), F.length(reply)))
+    whole = F.coalesce(extract_json_block(reply), tail)
     parses = lambda c: F.from_json(c, "map<string,string>").isNotNull() & F.from_json(c, "struct<_corrupt_record string>", {"mode": "PERMISSIVE"})["_corrupt_record"].isNull()
-    tidy = tidy_json(whole)
-    tail = tidy_json(F.substring(reply, F.locate("{", reply), F.length(reply)))
-    last = close_json(F.when(~F.coalesce(parses(tidy), F.lit(False)), tail))
-    return F.coalesce(F.when(parses(whole), whole), F.when(parses(tidy), tidy), F.when(parses(last), last))
+    # a lambda's argument is computed once
+    once = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    checked = lambda c: F.when(parses(c), c)
+    mend = once(once(once(held_apart(whole), mended), put_back), checked)
+    complete = once(once(once(once(held_apart(tail), completed), mended), put_back), checked)
+    return F.coalesce(F.when(parses(whole), whole), mend, complete)
 
 
 def bin_length(n: Column, edges: list[int]) -> Column:
@@ -290,11 +296,11 @@ def reply_summary(reply: Column) -> Column:
     return F.when(line == "", "(내용 없음)").otherwise(line)
 
 
-def is_promo_post(reply: Column, title: Column, body: Column) -> Column:
+def is_promo_post(reply: Column, title: Column, body: Column, promo_words: list[str] = PROMO_WORDS) -> Column:
     inner = F.exists(F.coalesce(reply_struct(reply)["metadata"], F.array().cast(METADATA)), lambda m: F.size(as_list(m["promotion_type"])) > 0)
     text = F.concat(F.coalesce(title, F.lit("")), F.coalesce(body, F.lit("")))
     words = F.lit(False)
-    for w in PROMO_WORDS:
+    for w in promo_words:
         words = words | F.contains(text, F.lit(w))
     return F.coalesce(inner, F.lit(False)) | words
 

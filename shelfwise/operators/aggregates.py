@@ -116,8 +116,8 @@ def distribution(df: DataFrame, column: str, quantiles: dict[str, float]) -> Dat
 def node_degree(df: DataFrame, key: str) -> DataFrame:
     """Distinct items per node in numbers: nodes, median, max, singletons, hubs at the 99th percentile or above."""
     d = df.groupBy(key).agg(F.countDistinct("item_code").alias("d"))
-    edge = d.agg(F.percentile("d", 0.99).alias("q99"))
-    return d.join(F.broadcast(edge)).agg(F.count("*").alias("n_nodes"), F.round(F.percentile("d", 0.5), 2).alias("median"), F.max("d").alias("largest"), F.count_if(F.col("d") == 1).alias("n_single"), pct(F.count_if(F.col("d") == 1), F.count("*")).alias("single_pct"), F.count_if(F.col("d") >= F.col("q99")).alias("n_hubs"))
+    edges = percentiles(d, ["d"], [0.5, 0.99]).select(F.get("d", F.lit(0)).alias("_median"), F.get("d", F.lit(1)).alias("q99"))
+    return d.join(F.broadcast(edges)).agg(F.count("*").alias("n_nodes"), F.round(F.max("_median"), 2).alias("median"), F.max("d").alias("largest"), F.count_if(F.col("d") == 1).alias("n_single"), pct(F.count_if(F.col("d") == 1), F.count("*")).alias("single_pct"), F.count_if(F.col("d") >= F.col("q99")).alias("n_hubs"))
 
 
 def interval_union(df: DataFrame, key: str, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -238,3 +238,14 @@ def wide_lists(items: DataFrame, column: str, value: str, labels: Sequence[str])
     """A column per label; the k-th row holds its k-th value in order."""
     distinct = items.select(column, value).distinct().withColumn("k", F.row_number().over(Window.partitionBy(column).orderBy(value)))
     return distinct.groupBy("k").pivot(column, list(labels)).agg(F.first(value))
+
+
+def file_periods(events: DataFrame, date: Column) -> DataFrame:
+    """First and last date and rows of each file that ``events`` is read from, and of all (null): from the files' metadata."""
+    dated = events.select(F.col("_metadata.file_path").alias("file"), date.alias("date"))
+    return dated.rollup("file").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
+
+
+def control_totals(steps: DataFrame, expected: DataFrame) -> DataFrame:
+    """(step, n, expected): counts beside those that the caller expects; a step without one has null."""
+    return steps.join(expected, "step", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import tokenize
+from shelfwise.sources.files import written
 
 RECEIPT = ["sale_date", "store", "pos_no", "trade_no"]
 
@@ -124,34 +125,77 @@ def foremost_ranges(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first.join(starts, by_start).filter("_before is null or end_date > _before").drop("_before")
 
 
-def name_scores(products: DataFrame, names: DataFrame) -> DataFrame:
-    """(product, event_name, score) with a score above 0: the product's tokens that stand in the name, repeats counted.
+def token_postings(products: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, event_name): the names that hold each token of the products anywhere, whatever the case.
 
     A token meets the names that hold its first two characters, then the whole token is looked for.
     """
-    tokens = products.select("product", F.explode(tokenize(F.col("product"))).alias("token"))
     low = F.lower("event_name")
     grams = names.select("event_name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2))))).alias("_gram"))
-    known = tokens.select("token").distinct().withColumn("_gram", F.substring(F.lower("token"), 1, 2))
-    hits = known.join(grams, "_gram").filter(F.contains(low, F.lower("token"))).select("token", "event_name")
-    return tokens.join(hits, "token").groupBy("product", "event_name").agg(F.count("*").cast("int").alias("score"))
+    known = products.select(F.explode(tokenize(F.col("product"))).alias("token")).distinct().withColumn("_gram", F.substring(F.lower("token"), 1, 2))
+    return known.join(grams, "_gram").filter(F.contains(low, F.lower("token"))).select("token", "event_name")
+
+
+def token_bounds(products: DataFrame, postings: DataFrame) -> DataFrame:
+    """(product, token, deficit): each distinct token of a product, and how far below the highest score a name stays that has none of its rarer tokens.
+
+    The rarest token has deficit 0. A name without the tokens of a deficit of d or less scores over d below the number of tokens.
+    """
+    listed = products.select("product", F.explode(tokenize(F.col("product"))).alias("token")).groupBy("product", "token").agg(F.count("*").alias("times"))
+    rarity = listed.join(postings.groupBy("token").agg(F.count("*").alias("_names")), "token", "left").fillna(0, ["_names"])
+    rarer = Window.partitionBy("product").orderBy("_names", "token").rowsBetween(Window.unboundedPreceding, -1)
+    return rarity.withColumn("deficit", F.coalesce(F.sum("times").over(rarer), F.lit(0)).cast("int")).filter("_names > 0").select("product", "token", "deficit")
+
+
+def name_scores(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (product, event_name, once each) plus score: the product's tokens that stand in the name, repeats counted."""
+    return pairs.withColumn("score", F.size(F.filter(tokenize(F.col("product")), lambda t: F.contains(F.lower(F.col("event_name")), F.lower(t)))))
+
+
+def best_fits(asked: DataFrame, running: DataFrame, watch: list[int] | None = None) -> DataFrame:
+    """For each (product, post_date) of ``asked``, the promotion of ``running`` with the highest score above 0 that runs then.
+
+    Names are looked up by a product's rarest token first. What has no promotion on its date with a
+    score that no name left out could reach goes on to the next rarest, and so on: a common token's
+    names are met only by products that nothing better fits. A round is a few joins; there are as
+    many as a product has tokens at most. ``watch`` gets the number of names scored in each.
+    """
+    products = written(asked.select("product").distinct())
+    postings = written(token_postings(products, running.select("event_name").distinct()))
+    bounds = written(token_bounds(products, postings))
+    last = bounds.agg(F.max("deficit")).first()[0]
+    highest = F.size(tokenize(F.col("product")))
+    order = Window.partitionBy("product", "post_date").orderBy(F.desc("score"), "start_date", "event_code")
+    open_, found, settled = asked, None, None
+    for deficit in range(0 if last is None else last + 1):
+        # names of this deficit's token, of products that are still open
+        pairs = bounds.filter(F.col("deficit") == deficit).join(open_.select("product").distinct(), "product", "left_semi").join(postings, "token").select("product", "event_name").distinct()
+        scored = written(name_scores(pairs))
+        if watch is not None:
+            watch.append(scored.count())
+        found = scored if found is None else found.unionByName(scored)
+        mine = found.join(open_.select("product").distinct(), "product", "left_semi").distinct() if deficit else scored
+        fits = foremost_ranges(mine.join(running, "event_name"), ["product", "score"])
+        best = written(range_join(open_, fits, "post_date", keys=["product"]).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank"))
+        sure = best.filter(F.col("score") >= highest - deficit) if deficit < last else best
+        settled = sure if settled is None else settled.unionByName(sure)
+        if deficit < last:
+            open_ = written(open_.join(sure, ["product", "post_date"], "left_anti"))
+            if open_.isEmpty():
+                break
+    return settled if settled is not None else asked.join(running, F.lit(False)).withColumn("score", F.lit(0))
 
 
 def post_promo_match(mentions: DataFrame, promo: DataFrame) -> DataFrame:
     """The promotion that fits a mention best: it runs on the post's date and shares most tokens with the product.
 
     Ties go to the earlier start, then to the smaller event code. Mentions without a match have no
-    row. Names are scored once for each product; of the promotions of one name, and again of those
-    with one score for a product, only the foremost reach the dates. So an open-ended promotion
-    meets few others, and a mention meets the foremost of each score alone.
+    row. Of the promotions of one name, and again of those with one score for a product, only the
+    foremost reach the dates, so an open-ended promotion meets few others.
     """
-    asked = mentions.select("post_date", "product").distinct()
-    running = foremost_ranges(promo.select("event_code", "event_name", "start_date", "end_date").distinct(), ["event_name"])
-    scores = name_scores(asked.select("product").distinct(), running.select("event_name").distinct())
-    fits = foremost_ranges(scores.join(running, "event_name"), ["product", "score"])
-    order = Window.partitionBy("product", "post_date").orderBy(F.desc("score"), "start_date", "event_code")
-    best = range_join(asked, fits, "post_date", keys=["product"]).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
-    return mentions.join(best, ["post_date", "product"])
+    asked = written(mentions.select("post_date", "product").distinct())
+    running = written(foremost_ranges(promo.select("event_code", "event_name", "start_date", "end_date").distinct(), ["event_name"]))
+    return mentions.join(best_fits(asked, running), ["post_date", "product"])
 
 
 def unmatched_mentions(mentions: DataFrame, matched: DataFrame) -> DataFrame:

@@ -27,6 +27,44 @@ def prefix_sums(df: DataFrame, order: Sequence[Column | str], **sums: Column) ->
     return joined.select(*df.columns, *[(F.sum(f"_{k}").over(here) + F.col(f"_{k}_before")).alias(k) for k in sums])
 
 
+def grouped_prefix_sums(df: DataFrame, group: str, order: Sequence[Column | str], **sums: Column) -> DataFrame:
+    """``df`` plus, for each name, the sum of its expression over the rows of the group up to here in the order, and ``total_<name>`` over the whole group.
+
+    A window by group would sort each group in one task. Here rows are dealt by range of (group,
+    order), so a group with half of all rows lies in as many parts as its size asks for; a table of
+    one row for each part and group carries the sums from part to part of a group. A null group is
+    a group. The order must be total within a group for the sums to be determined.
+    """
+    path = scratch_dir(df.sparkSession)
+    dealt = df.repartitionByRange(group, *order)
+    dealt.withColumns({"_part": F.spark_partition_id(), **{f"_{k}": v for k, v in sums.items()}}).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a group has a row for each part it lies in
+    whole = Window.partitionBy("_group")
+    parts = rows.groupBy("_part", F.col(group).alias("_group")).agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums])
+    carried = parts.select(F.col("_part").alias("_at"), "_group", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}_before") for k in sums], *[F.sum(f"_{k}").over(whole).alias(f"total_{k}") for k in sums])
+    here = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumns({f"_{k}_run": F.sum(f"_{k}").over(here) for k in sums})
+    joined = running.join(carried, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*df.columns, *[(F.col(f"_{k}_run") + F.col(f"_{k}_before")).alias(k) for k in sums], *[f"total_{k}" for k in sums])
+
+
+def grouped_percentiles(df: DataFrame, group: str, column: str, shares: Sequence[float]) -> DataFrame:
+    """(group, percentiles): exact, interpolated percentiles of each group as an array, null where a group has no value.
+
+    Values are counted by group first and looked up by their ranks among the counts, so no buffer
+    holds a group's values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+    ranks = grouped_prefix_sums(counts, group, ["_value"], upto=F.col("_n"))
+    at = lambda q: (F.col("total_upto") - 1) * F.lit(float(q))
+    holds = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("_n") <= place)
+    ends = ranks.groupBy(group).agg(*[F.max(F.when(holds(place(at(q))), F.col("_value"))).alias(f"{side}{i}") for i, q in enumerate(shares) for side, place in (("low", F.floor), ("high", F.ceil))], F.max("total_upto").alias("total_upto"))
+    part = lambda q: at(q) - F.floor(at(q))
+    mixed = [F.when(F.col(f"low{i}") == F.col(f"high{i}"), F.col(f"low{i}")).otherwise((1 - part(q)) * F.col(f"low{i}") + part(q) * F.col(f"high{i}")) for i, q in enumerate(shares)]
+    return ends.select(group, F.array(*mixed).alias("percentiles"))
+
+
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, n, upto): the distinct values that aren't null, how often each occurs, and how many rows have it or less."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.ordering import percentiles, prefix_sums, value_ranks
+from shelfwise.operators.ordering import grouped_percentiles, grouped_prefix_sums, percentiles, prefix_sums, value_ranks
 
 ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -21,12 +21,10 @@ def item_sales(lines: DataFrame, items: DataFrame, keep_all: bool = False) -> Da
 
 
 def ranked_shares(sales: DataFrame, category: str, measure: str = "amount") -> DataFrame:
-    """Adds rn, n, total, cum_pct within the category, largest first."""
-    by = Window.partitionBy(category)
-    order = by.orderBy(F.desc(measure), "item_code")
-    running = F.sum(measure).over(order.rowsBetween(*ROWS))
-    step = sales.withColumns({"rn": F.row_number().over(order), "n": F.count("*").over(by), "total": F.sum(measure).over(by), "_run": running})
-    return step.withColumn("cum_pct", F.try_divide(100.0 * F.col("_run"), "total")).drop("_run")
+    """Adds rn, n, total, cum_pct within the category, largest first. A category of any size is dealt to several tasks."""
+    step = grouped_prefix_sums(sales, category, [F.desc(measure), "item_code"], rn=F.lit(1), _run=F.col(measure))
+    named = step.withColumnsRenamed({"total_rn": "n", "total__run": "total"}).withColumn("rn", F.col("rn").cast("int"))
+    return named.withColumn("cum_pct", F.try_divide(100.0 * F.col("_run"), "total")).drop("_run")
 
 
 def pareto_by_category(sales: DataFrame, category: str, cut: float = 80, least_items: int = 5, floor: int = 0, measure: str = "amount") -> DataFrame:
@@ -65,8 +63,9 @@ def top_quantile_items(sales: DataFrame, q: float = 0.95, measure: str = "amount
 
 def top_quantile_by(sales: DataFrame, category: str, q: float = 0.95, least_items: int = 1, measure: str = "amount") -> DataFrame:
     """Per category: items at or above its quantile, their number and share."""
-    edges = sales.groupBy(category).agg(F.percentile(measure, q).alias("edge"), F.sum(measure).alias("total"), F.count("*").alias("n")).filter(F.col("n") >= least_items)
-    kept = sales.join(edges, category).filter(F.col(measure) >= F.col("edge"))
+    edges = grouped_percentiles(sales, category, measure, [q]).select(category, F.get("percentiles", F.lit(0)).alias("edge"))
+    totals = sales.groupBy(category).agg(F.sum(measure).alias("total"), F.count("*").alias("n")).filter(F.col("n") >= least_items)
+    kept = sales.join(edges.join(totals, category), category).filter(F.col(measure) >= F.col("edge"))
     return kept.groupBy(category).agg(F.count("*").alias("n_top"), F.max("n").alias("n_items"), F.round(100 * F.sum(measure) / F.max("total"), 2).alias("share"))
 
 
@@ -131,8 +130,8 @@ def outliers(df: DataFrame, columns: list[str], low: float = 0.05, high: float =
 
 def gini_by_group(counts: DataFrame, group: str, measure: str = "x") -> DataFrame:
     """2 sum(i x) / (n sum(x)) - (n + 1) / n with ranks from the smallest; null for a zero total."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(measure, "item_code"))
-    g = counts.withColumn("_i", rank).groupBy(group).agg(F.sum(F.col("_i") * F.col(measure)).alias("_s"), F.sum(measure).alias("_t"), F.count("*").alias("n"), F.max(measure).alias("max_x"), F.round(F.avg(measure), 4).alias("mean_x"))
+    ranked = grouped_prefix_sums(counts, group, [measure, "item_code"], _i=F.lit(1))
+    g = ranked.groupBy(group).agg(F.sum(F.col("_i") * F.col(measure)).alias("_s"), F.sum(measure).alias("_t"), F.count("*").alias("n"), F.max(measure).alias("max_x"), F.round(F.avg(measure), 4).alias("mean_x"))
     value = F.try_divide(2 * F.col("_s"), F.col("n") * F.col("_t")) - (F.col("n") + 1) / F.col("n")
     return g.select(group, "n", "max_x", "mean_x", F.round(value, 4).alias("gini"))
 

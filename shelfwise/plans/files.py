@@ -184,7 +184,7 @@ def t3_reextract(s, d):
     return I.reextract(rows, weak, S.scratch_dir(s), "ord", 1, lower_first, "review_keywords").select("ord", "old_review_keywords", "review_keywords")
 
 
-@query(sql("posts", "SELECT ord, cat_m AS brand, CASE WHEN ord % 11 <> 0 AND ord % 2 = 1 AND reply IS NOT NULL THEN lower(substr(body, 1, 3)) ELSE reply END AS reply FROM posts"))
+@query(sql("posts", "SELECT ord, cat_m AS brand, CASE WHEN coalesce(json_array_length(nullif(regexp_extract(reply, '[{].*[}]', 0, 's'), ''), '$.metadata') >= 2, false) THEN lower(substr(body, 1, 3)) ELSE reply END AS reply FROM posts"))
 def t4_rerun_multi_product(s, d):
     """Replies with several products are redone, brands as a column."""
     rows = posts(s, d).withColumn("text", F.col("body"))

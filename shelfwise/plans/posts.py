@@ -221,7 +221,7 @@ def a78_orphan_report(s, d):
     return A.rule_counts(keyword_rows(s, d), {"orphan": (r > 0) & (h == 0), "long blank": (n >= 5000) & (r == 0), "short many": (n < 500) & (r >= 5)})
 
 
-@query(sql("posts", "SELECT count(*) AS n, count_if(reply LIKE '%{%}%') AS n_parsed, count_if(reply LIKE '%\"metadata\"%') AS n_meta, count_if(reply LIKE '%\"price\":%') AS n_price FROM posts"))
+@query(sql("posts", REPLIES + "SELECT count(*) AS n, count(js) AS n_parsed, count_if(json_array_length(js, '$.metadata') > 0) AS n_meta, count_if(ord IN (SELECT ord FROM mt WHERE json_extract_string(m, '$.price') IS NOT NULL)) AS n_price FROM rj"))
 def a79_reply_quality(s, d):
     r = T.reply_struct(F.col("reply"))
     priced = F.exists(F.coalesce(r["metadata"], F.array().cast(T.METADATA)), lambda m: m["price"].isNotNull())
@@ -307,11 +307,24 @@ def f16_sentence_context(s, d):
     return posts(s, d).select("ord", T.sentence_context(F.col("body"), F.lit("the ")).alias("context"))
 
 
-@query(sql("posts", "SELECT ord, (reply IS NOT NULL AND ord % 11 <> 0 AND ord % 2 = 1 AND ord % 3 <> 2) AS promo FROM posts"))
+PROMO = "+pm AS (SELECT DISTINCT ord FROM mt WHERE CASE json_type(m, '$.promotion_type') WHEN 'ARRAY' THEN len(list_filter(CAST(json_extract(m, '$.promotion_type') AS VARCHAR[]), lambda x: trim(x) <> '')) > 0 WHEN 'VARCHAR' THEN trim(json_extract_string(m, '$.promotion_type')) <> '' ELSE false END) "
+
+
+@query(sql("posts", REPLIES + PROMO.replace("+", ", ") + "SELECT ord, ord IN (SELECT ord FROM pm) AS promo FROM posts"))
 def f18_is_promo_post(s, d):
     return posts(s, d).select("ord", T.is_promo_post(F.col("reply"), F.lit(""), F.lit("")).alias("promo"))
 
 
+#: Words of the driver's texts stand for the promotion words.
+PROMO_LIKE = ["vor", "mine", "casa"]
+
+
+@query(sql("posts", REPLIES + PROMO.replace("+", ", ") + "SELECT ord, (" + " OR ".join(f"contains(query || body, '{w}')" for w in PROMO_LIKE) + ") OR ord IN (SELECT ord FROM pm) AS promo FROM posts"))
+def f18_promo_words(s, d):
+    """Title and body are looked through too."""
+    return posts(s, d).select("ord", T.is_promo_post(F.col("reply"), F.col("query"), F.col("body"), PROMO_LIKE).alias("promo"))
+
+
 @query(sql("krows", f"SELECT ord, len({KW}) AS n FROM krows"))
 def f19_keyword_count(s, d):
     return keyword_rows(s, d).select("ord", T.keyword_count(F.col("review_keywords")).alias("n"))
@@ -328,7 +341,7 @@ def f21_needs_reextract(s, d):
     return keyword_rows(s, d).filter(T.needs_reextract(F.col("review_keywords"), F.col("hin_keywords"), F.col("body"))).select("ord")
 
 
-@query(sql("posts", "SELECT ord, CASE WHEN ord % 11 = 0 OR reply IS NULL THEN 0 ELSE 4 + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END END AS n FROM posts"))
+@query(sql("posts", REPLIES + ", en AS (SELECT ord, js AS h FROM rj WHERE js IS NOT NULL UNION ALL SELECT ord, m FROM mt), ct AS (SELECT ord, " + " + ".join(f"CASE json_type(h, '$.{f}') WHEN 'ARRAY' THEN CAST(json_array_length(h, '$.{f}') AS INTEGER) ELSE 0 END" for f in T.LIST_FIELDS) + " AS k FROM en) SELECT ord, CAST(coalesce(sum(k), 0) AS INTEGER) AS n FROM posts LEFT JOIN ct USING (ord) GROUP BY 1"))
 def f22_structured_keyword_count(s, d):
     return posts(s, d).select("ord", T.structured_keyword_count(F.col("reply")).alias("n"))
 
@@ -345,12 +358,24 @@ def f24_repair_json(s, d):
     return posts(s, d).select("ord", T.repair_json(broken).alias("fixed")).filter("fixed is not null")
 
 
+CUT = "substr(reply, 1, CAST(length(reply) - ord % 97 AS INTEGER))"
+
+
+@query(sql("posts", f"SELECT ord, nullif(regexp_extract(c, '\"name\":\"([^\"]*)', 1), '') AS name, CAST(nullif(regexp_extract(c, '\"price\":([0-9]+)', 1), '') AS BIGINT) AS price, contains(c, '{{') AS repaired FROM (SELECT ord, {CUT} AS c FROM posts)"))
+def f24_repair_cut_reply(s, d):
+    """Replies that break off anywhere in their last hundred characters: what stood before is read from the repaired text."""
+    cut = F.expr("substr(reply, 1, cast(length(reply) - ord % 97 as int))")
+    fixed = posts(s, d).select("ord", cut.alias("c")).select("ord", "c", T.repair_json(F.col("c")).alias("fixed"))
+    name, price = (F.get_json_object("fixed", f"$.metadata[0].{f}") for f in ("name", "price"))
+    return fixed.select("ord", F.nullif(name, F.lit("")).alias("name"), price.cast("long").alias("price"), F.when(F.col("c").isNotNull(), F.col("fixed").isNotNull()).alias("repaired"))
+
+
 @query(sql("posts", "SELECT ord, CASE WHEN length(body) >= 5000 THEN 3 WHEN length(body) >= 1000 THEN 2 WHEN length(body) >= 200 THEN 1 ELSE 0 END AS bin FROM posts"))
 def f25_bin_length(s, d):
     return posts(s, d).select("ord", T.bin_length(F.length("body"), [0, 200, 1000, 5000]).alias("bin"))
 
 
-@query(sql("posts", "SELECT ord FROM posts WHERE ord % 11 <> 0 AND ord % 2 = 1 AND reply IS NOT NULL"))
+@query(sql("posts", REPLIES + "SELECT ord FROM rj WHERE js IS NOT NULL AND json_array_length(js, '$.metadata') >= 2"))
 def f26_is_multi_product(s, d):
     return posts(s, d).filter(T.is_multi_product(F.col("reply"))).select("ord")
 

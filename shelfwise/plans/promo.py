@@ -9,6 +9,7 @@ from shelfwise.operators import aggregates as A
 from shelfwise.operators import clean as P
 from shelfwise.operators import graph as G
 from shelfwise.operators import joins as J
+from shelfwise.operators import ordering as O
 from shelfwise.operators import windows as W
 from shelfwise.plans.registry import query
 from shelfwise.sources.tables import item_master, promotions, sales_lines, sql
@@ -172,7 +173,8 @@ def a34_promo_by_month(s, d):
 @query(sql("items promo", CATS + "SELECT cat_m, round(avg(days), 4) AS mean_days, max(days) AS max_days, quantile_cont(days, 0.5) AS median_days FROM (SELECT cat_m, CAST(end_date - start_date AS BIGINT) AS days FROM pc WHERE year(end_date) < 9999) GROUP BY 1"))
 def a35_promo_duration(s, d):
     days = P.closed_promos(with_cats(s, d)).withColumn("days", F.datediff("end_date", "start_date").cast("long"))
-    return days.groupBy("cat_m").agg(F.round(F.avg("days"), 4).alias("mean_days"), F.max("days").alias("max_days"), F.percentile("days", 0.5).alias("median_days"))
+    median = O.grouped_percentiles(days, "cat_m", "days", [0.5]).select("cat_m", F.get("percentiles", F.lit(0)).alias("median_days"))
+    return days.groupBy("cat_m").agg(F.round(F.avg("days"), 4).alias("mean_days"), F.max("days").alias("max_days")).join(median, "cat_m")
 
 
 @query(sql("promo", "SELECT CAST(end_date - start_date AS BIGINT) AS days, count(*) AS n FROM promo WHERE year(end_date) < 9999 GROUP BY 1 ORDER BY n DESC, days LIMIT 10"))
@@ -261,15 +263,20 @@ def a44_concentration_report(s, d):
     return joined.withColumn("coverage_pct", A.pct(F.col("n"), F.col("n_whole"))).drop("n_whole")
 
 
-SEASON_SQL = "CASE WHEN month(start_date) IN (1, 2) THEN '설날' WHEN month(start_date) IN (7, 8) THEN '여름/휴가' WHEN month(start_date) = 12 THEN '크리스마스' END"
+#: The driver's names have no season in them: one of all words, or none, is put behind each, and the name alone then decides.
+SEASON_WORDS = ["", *[w for _, words in T.SEASONS for w in words]]
+NAMED = "event_name || ' ' || [" + ", ".join(f"'{w}'" for w in SEASON_WORDS) + f"][CAST(item_code AS INTEGER) % {len(SEASON_WORDS)} + 1]"
+SEASON_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(nm), '{w}')" for w in words) + f" THEN '{label}'" for label, words in T.SEASONS) + " END"
 
 
-@query(sql("promo", f"SELECT {SEASON_SQL} AS season, count(*) AS n FROM promo WHERE {SEASON_SQL} IS NOT NULL GROUP BY 1"))
+def seasonal(s, d):
+    word = F.get(F.array(*map(F.lit, SEASON_WORDS)), F.col("item_code").cast("int") % len(SEASON_WORDS))
+    return promotions(s, d).withColumn("season", T.season(F.concat("event_name", F.lit(" "), F.upper(word))))
+
+
+@query(sql("promo", f"SELECT {SEASON_SQL} AS season, count(*) AS n FROM (SELECT {NAMED} AS nm FROM promo) WHERE {SEASON_SQL} IS NOT NULL GROUP BY 1"))
 def a45_season_counts(s, d):
-    m = F.month("start_date")
-    word = F.when(m.isin(1, 2), " 설맞이").when(m.isin(7, 8), " SUMMER").when(m == 12, " XMas").otherwise("")
-    named = promotions(s, d).withColumn("season", T.season(F.concat("event_name", word)))
-    return A.value_counts(named.filter("season is not null"), "season")
+    return A.value_counts(seasonal(s, d).filter("season is not null"), "season")
 
 
 @query(sql("promo", "SELECT promo_type, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM promo GROUP BY 1"))
@@ -303,16 +310,17 @@ def f13_tokenize(s, d):
     return s.read.parquet(f"{d}/part.parquet").select("p_name", F.array_join(T.tokenize(F.col("p_name")), " ").alias("tokens")).distinct()
 
 
-@query("SELECT p_partkey, CAST(len(list_filter(string_split(p_name, ' '), lambda t: length(t) >= 2 AND contains('small red ring', lower(t)))) AS INTEGER) AS score FROM part")
+@query("SELECT a.p_partkey, CAST(len(list_filter(string_split(a.p_name, ' '), lambda t: length(t) >= 2 AND contains(lower(b.p_name), lower(t)))) AS INTEGER) AS score FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def f14_match_score(s, d):
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", T.match_score(T.tokenize(F.col("p_name")), F.lit("Small red RING")).alias("score"))
+    """A name's tokens against the next item's name in capitals."""
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.upper("p_name").alias("text"))
+    return part.join(following, "p_partkey").select("p_partkey", T.match_score(T.tokenize(F.col("p_name")), F.col("text")).alias("score"))
 
 
-@query(sql("promo", f"SELECT event_code, item_code, {SEASON_SQL} AS season FROM promo"))
+@query(sql("promo", f"SELECT event_code, item_code, {SEASON_SQL} AS season FROM (SELECT event_code, item_code, {NAMED} AS nm FROM promo)"))
 def f17_season(s, d):
-    m = F.month("start_date")
-    word = F.when(m.isin(1, 2), " 설맞이").when(m.isin(7, 8), " SUMMER").when(m == 12, " XMas").otherwise("")
-    return promotions(s, d).select("event_code", "item_code", T.season(F.concat("event_name", word)).alias("season"))
+    return seasonal(s, d).select("event_code", "item_code", "season")
 
 
 @query(sql("promo", "SELECT item_code AS src, promo_type AS dst, 'IN_PROMO' AS kind, CAST(count(*) AS DOUBLE) AS weight FROM promo GROUP BY 1, 2"))

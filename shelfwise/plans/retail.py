@@ -11,6 +11,7 @@ from shelfwise.operators import graph as G
 from shelfwise.operators import joins as J
 from shelfwise.operators import windows as W
 from shelfwise.plans.registry import query
+from shelfwise.sources import files as S
 from shelfwise.sources.tables import app_events, item_map, item_master, periods, sales_lines, sql
 
 ISALES = "+isales AS (SELECT item_code, item_name, cat_l, cat_m, cat_s, amount, qty FROM (SELECT item_code, CAST(sum(amount) AS BIGINT) AS amount, CAST(sum(qty) AS BIGINT) AS qty FROM sales GROUP BY 1) JOIN items USING (item_code)) "
@@ -390,11 +391,13 @@ def a49_monthly_events(s, d):
     return A.value_counts(app_events(s, d).withColumn("month", F.substring("event_time", 1, 7)), "month")
 
 
-@query(sql("app", "SELECT campaign, min(CAST(substr(event_time, 1, 10) AS DATE)) AS first, max(CAST(substr(event_time, 1, 10) AS DATE)) AS last, count(*) AS n FROM app GROUP BY ROLLUP (campaign)"))
+@query(sql("app", "SELECT campaign AS folder, CAST(substr(min(event_time), 1, 10) AS DATE) AS first, CAST(substr(max(event_time), 1, 10) AS DATE) AS last, count(*) AS n FROM app GROUP BY ROLLUP (campaign)"))
 def a50_file_periods(s, d):
-    """Periods by campaign and over all (null): files of one folder have one path here."""
-    dated = app_events(s, d).withColumn("date", F.try_to_date(F.substring("event_time", 1, 10), "yyyy-MM-dd"))
-    return dated.rollup("campaign").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))
+    """Events written to a file for each campaign, and read again: a row for each file, and one for all."""
+    path = S.scratch_dir(s)
+    app_events(s, d).repartition("campaign").write.partitionBy("campaign").parquet(path)
+    periods = A.file_periods(s.read.parquet(path), F.try_to_date(F.substring("event_time", 1, 10), "yyyy-MM-dd"))
+    return periods.select(F.regexp_extract("file", "campaign=([^/]+)/", 1).alias("folder"), "first", "last", "n")
 
 
 # ---- seasons
@@ -501,13 +504,15 @@ def a74_category_summary(s, d):
     return item_master(s, d).groupBy("cat_l").agg(F.countDistinct("cat_m").alias("n_middle"))
 
 
-@query(sql("sales items", "SELECT 'items' AS step, count(*) AS n, CAST(2000 AS BIGINT) AS expected FROM items UNION ALL SELECT 'sales', count(*), CAST(60000 AS BIGINT) FROM sales UNION ALL SELECT 'sales of category', count(*), NULL FROM sales SEMI JOIN (SELECT * FROM items WHERE cat_l = 'PROMO') i USING (item_code)"))
+@query(sql("sales items", "SELECT 'items' AS step, count(*) AS n, (SELECT count(*) FROM part) AS expected FROM items UNION ALL SELECT 'sales', count(*), (SELECT count(*) FROM lineitem) FROM sales UNION ALL SELECT 'sales of category', count(*), NULL FROM sales SEMI JOIN (SELECT * FROM items WHERE cat_l = 'PROMO') i USING (item_code)"))
 def a75_control_totals(s, d):
     lines, items = sales_lines(s, d), item_master(s, d)
     count = lambda step, df: df.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n")
     steps = count("items", items).union(count("sales", lines)).union(count("sales of category", J.restrict_to_items(lines, items.filter("cat_l = 'PROMO'"))))
-    expected = s.createDataFrame([("items", 2000), ("sales", 60000)], "step string, expected long")
-    return steps.join(expected, "step", "left")
+    # what the caller expects: as many rows as the raw tables have, before they are joined
+    raw = lambda step, table: s.read.parquet(f"{d}/{table}.parquet").agg(F.count("*").alias("expected")).select(F.lit(step).alias("step"), "expected")
+    expected = raw("items", "part").union(raw("sales", "lineitem"))
+    return A.control_totals(steps, expected)
 
 
 @query(sql("sales", "SELECT (SELECT count(*) FROM sales) AS n_a, (SELECT count(*) FROM sales WHERE qty > 0 AND amount > 0) AS n_b, round(100 * (1 - (SELECT count(*) FROM sales WHERE qty > 0 AND amount > 0) / (SELECT count(*) FROM sales)), 2) AS reduced_pct, '' AS only_in_a"))

@@ -21,6 +21,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to a new scratch folder and read back: its plan isn't run again, and a lost executor loses nothing."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
