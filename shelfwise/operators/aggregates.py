@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.joins import RECEIPT, range_join
-from shelfwise.operators.ordering import percentiles
+from shelfwise.operators.ordering import grouped_prefix_sums, grouped_running_max, percentiles
 
 # Fixed values.
 PLACEHOLDERS = ["-", "N/A", "n/a", "없음", "미정", "0", "미분류", "null", "NULL", "?", "."]
@@ -123,14 +123,17 @@ def node_degree(df: DataFrame, key: str) -> DataFrame:
 def interval_union(df: DataFrame, key: str, start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Intervals that overlap or touch within a day, merged: their number, days, span, first and last.
 
-    Gaps and islands: an interval begins a new island when it starts over a day after every earlier end.
+    Of the intervals of one start only the longest counts. In order of their starts, an interval that
+    begins over a day after every earlier end opens a new one and adds all its days; any other adds
+    the days beyond the latest end so far. That end is carried between ranges of the order, so one key
+    with all intervals is several tasks' work. A null start or end is no interval; a null key is a key.
     """
-    order = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.datediff(start, before) > 1), 1).otherwise(0)
-    islands = df.select(key, start, end).distinct().withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(key, "_island").agg(F.min(start).alias("s"), F.max(end).alias("e"))
-    return merged.groupBy(key).agg(F.count("*").alias("n_intervals"), F.sum(F.datediff("e", "s") + 1).alias("days"), F.min("s").alias("first"), F.max("e").alias("last")).withColumn("span", F.datediff("last", "first") + 1)
+    longest = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(key, start).agg(F.max(end).alias(end))
+    seen = grouped_running_max(longest, key, [start], end, "_seen")
+    fresh = F.col("_seen").isNull() | (F.datediff(start, "_seen") > 1)
+    added = F.when(fresh, F.datediff(end, start) + 1).otherwise(F.greatest(F.datediff(end, "_seen"), F.lit(0)))
+    merged = seen.groupBy(key).agg(F.count_if(fresh).alias("n_intervals"), F.sum(added).alias("days"), F.min(start).alias("first"), F.max(end).alias("last"))
+    return merged.withColumn("span", F.datediff("last", "first") + 1)
 
 
 def crosstab_share(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -173,17 +176,44 @@ def period_lift(daily: DataFrame, periods: DataFrame, min_lift: float = 1.5, lea
 
 
 def period_sales(daily: DataFrame, periods: DataFrame) -> DataFrame:
-    """Sales inside each period, periods may overlap."""
-    return range_join(daily, periods, "date").groupBy("period_key", "item_code").agg(F.sum("qty").alias("qty"), F.countDistinct("date").alias("n_days"))
+    """Sales inside each period, periods may overlap. Rows of one day and item are summed before they meet the periods."""
+    return range_join(daily_item_qty(daily, "date"), periods, "date").groupBy("period_key", "item_code").agg(F.sum("qty").alias("qty"), F.countDistinct("date").alias("n_days"))
 
 
 def merge_by_key(df: DataFrame, key: str, order: str, first: str, link: str, text: str, separator: str = "\n---\n") -> DataFrame:
-    """One row per key: the first value, distinct links in order, texts joined in order. A key's lists are one row: keys must not be hot."""
+    """One row per key: the first value, distinct links in order, texts joined in order.
+
+    A key's lists are one row: where keys may be hot, ``merge_in_chunks`` has rows of a stated size.
+    """
     listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(order, c)))), lambda x: x[c])
     agg = df.groupBy(key).agg(F.min_by(first, order).alias(first), F.array_distinct(listed(link)).alias("_links"), F.filter(listed(text), lambda t: F.length(F.trim(t)) > 0).alias("_texts"))
     return agg.select(key, first, F.array_join("_links", ", ").alias("links"), F.size("_links").alias("n_links"), F.array_join("_texts", separator).alias("merged"))
 
 
+def merge_in_chunks(df: DataFrame, key: str, order: Sequence[str], text: str, separator: str, most: int) -> DataFrame:
+    """(key, chunk, n, merged): a key's texts joined in order, in rows of fewer than ``most`` characters besides the last text of each.
+
+    The chunk of a text is the number of characters before it in its key, separators included, over
+    ``most``, rounded down; numbers rise in order, and one is left out where a text is longer than
+    ``most``. The characters are counted by range of (key, order), so no task holds a key. The order
+    must be total within a key. Null and blank texts are left out; a null key is a key.
+    """
+    size = F.length(text) + len(separator)
+    kept = df.filter(F.length(F.trim(text)) > 0).select(key, *order, *([] if text in order else [text]))
+    counted = grouped_prefix_sums(kept, key, list(order), _upto=size).withColumn("chunk", F.floor((F.col("_upto") - size) / most))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))), lambda x: x["_text"])
+    return counted.groupBy(key, "chunk").agg(F.count("*").alias("n"), F.array_join(texts, separator).alias("merged"))
+
+
+def listed_in_chunks(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, chunk, values): a key's values that aren't null, repeats included, in ordered lists of ``most`` or, the last, fewer.
+
+    The rows of a key are numbered by range of (key, value), so no task or row holds a hot key's values.
+    """
+    numbered = grouped_prefix_sums(df.filter(F.col(value).isNotNull()).select(key, value), key, [value], _at=F.lit(1))
+    return numbered.groupBy(key, F.floor((F.col("_at") - 1) / most).alias("chunk")).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
 def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that meet each rule."""
     rows = [F.struct(F.lit(k).alias("rule"), F.count_if(c).alias("n")) for k, c in rules.items()]

@@ -66,15 +66,20 @@ def multi_item_receipts(lines: DataFrame, items: DataFrame, least: int = 2) -> D
     return lines.filter("qty > 0 and amount > 0").join(big, RECEIPT, "left_semi").join(items, "item_code")
 
 
-def co_purchase_pairs(lines: DataFrame, key: list[str], category: str) -> DataFrame:
-    """(cat_a, cat_b, n): receipts that hold both, cat_a < cat_b.
+def co_purchase_pairs(lines: DataFrame, key: list[str], category: str, least: int = 1) -> DataFrame:
+    """(cat_a, cat_b, n): receipts that hold both, cat_a < cat_b; of pairs in ``least`` receipts or more.
 
     A receipt's distinct categories become one sorted array, whose pairs are exploded: one shuffle
-    by receipt. A receipt has as many pairs as its categories allow, so categories must be few.
+    by receipt. A receipt has as many pairs as its categories allow. With ``least`` above 1 a
+    category that fewer receipts hold can be in no such pair and goes before pairs are made.
     """
-    sets = lines.filter(F.col(category).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_set(category)).alias("c")).filter(F.size("c") > 1)
+    known = lines.filter(F.col(category).isNotNull()).select(*key, category)
+    if least > 1:
+        known = written(known.distinct())
+        known = known.join(known.groupBy(category).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), category, "left_semi")
+    sets = known.groupBy(*key).agg(F.sort_array(F.collect_set(category)).alias("c")).filter(F.size("c") > 1)
     pairs = F.flatten(F.transform("c", lambda a, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda b: F.struct(a.alias("cat_a"), b.alias("cat_b")))))
-    return sets.select(F.explode(pairs).alias("p")).groupBy("p.cat_a", "p.cat_b").agg(F.count("*").alias("n"))
+    return sets.select(F.explode(pairs).alias("p")).groupBy("p.cat_a", "p.cat_b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def first_sale_enriched(lines: DataFrame, key: str = "item_code", date: str = "sale_date") -> DataFrame:

@@ -49,6 +49,24 @@ def grouped_prefix_sums(df: DataFrame, group: str, order: Sequence[Column | str]
     return joined.select(*df.columns, *[(F.col(f"_{k}_run") + F.col(f"_{k}_before")).alias(k) for k in sums], *[f"total_{k}" for k in sums])
 
 
+def grouped_running_max(df: DataFrame, group: str, order: Sequence[Column | str], column: str, name: str) -> DataFrame:
+    """``df`` plus, as ``name``, the greatest value of a column among the rows of the group before this one in the order.
+
+    Null where none is before. Rows are dealt by range of (group, order) as in ``grouped_prefix_sums``,
+    so a group lies in as many parts as its size asks for; the maxima of a group's earlier parts
+    are carried on by a table of one row for each part and group. A null group is a group.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    parts = rows.groupBy(F.col("_part").alias("_at"), F.col(group).alias("_group")).agg(F.max(column).alias("_top"))
+    earlier = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # a group has a row for each part it lies in
+    carried = parts.select("_at", "_group", F.max("_top").over(earlier).alias("_carried"))
+    here = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("_here", F.max(column).over(here)).join(carried, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    return joined.select(*df.columns, F.greatest("_here", "_carried").alias(name))
+
+
 def grouped_percentiles(df: DataFrame, group: str, column: str, shares: Sequence[float]) -> DataFrame:
     """(group, percentiles): exact, interpolated percentiles of each group as an array, null where a group has no value.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as T
+from shelfwise.operators import aggregates as A
 from shelfwise.plans.registry import query
 from shelfwise.sources import files as S
 from shelfwise.sources.tables import item_master, keyword_rows, posts, sales_lines, sql
@@ -119,8 +120,8 @@ def s11_write_csv(s, d):
 @query(sql("items", "SELECT cat_l, item_code FROM items"))
 def s12_write_json_table(s, d):
     out = S.scratch_dir(s)
-    S.write_json_table(item_master(s, d).groupBy("cat_l").agg(F.collect_list("item_code").alias("codes")), out)
-    return s.read.schema("cat_l string, codes array<string>").json(out).select("cat_l", F.explode("codes").alias("item_code"))
+    S.write_json_table(A.listed_in_chunks(item_master(s, d), "cat_l", "item_code", 1000), out)
+    return s.read.schema("cat_l string, chunk long, values array<string>").json(out).select("cat_l", F.explode("values").alias("item_code"))
 
 
 @query(sql("sales items", "SELECT trade_no, item_code FROM sales WHERE item_code IN (SELECT item_code FROM items WHERE cat_m = 'Brand#7')"))

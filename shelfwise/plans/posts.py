@@ -121,6 +121,11 @@ def a53_merge_posts_by_query(s, d):
     return merged.select(F.col("key").alias("query"), "cat_m", F.array_join(F.sort_array(F.split("links", ", ")), ", ").alias("links"), "n_links", "merged")
 
 
+@query(sql("posts", "+o AS (SELECT link, ord, body, sum(length(body) + 3) OVER (PARTITION BY link ORDER BY ord) - length(body) - 3 AS before FROM posts WHERE trim(body) <> '') SELECT link, CAST(before // 4000 AS BIGINT) AS chunk, count(*) AS n, string_agg(body, ' | ' ORDER BY ord) AS merged FROM o GROUP BY 1, 2"))
+def a53_merge_in_chunks(s, d):
+    return A.merge_in_chunks(posts(s, d), "link", ["ord"], "body", " | ", 4000)
+
+
 @query(sql("posts", FEATURES + f"SELECT query, count(*) AS total, count_if({GOOD}) AS survived, count_if(NOT ({GOOD})) AS dropped, round(100 * count_if({GOOD}) / count(*), 2) AS rate FROM f GROUP BY 1"))
 def a54_quality_survival(s, d):
     return features(s, d).withColumn("ok", good()).groupBy("query").agg(F.count("*").alias("total"), F.count_if("ok").alias("survived"), F.count_if(~F.col("ok")).alias("dropped"), A.pct(F.count_if("ok"), F.count("*")).alias("rate"))
@@ -415,6 +420,12 @@ def g7_attribute_pairs(s, d):
     return J.co_purchase_pairs(exploded, ["ord"], "k")
 
 
+@query(sql("krows", f"+k AS (SELECT DISTINCT ord, unnest({KW}) AS k FROM krows) SELECT a.k AS cat_a, b.k AS cat_b, count(*) AS n FROM k a JOIN k b ON a.ord = b.ord AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 3"))
+def g7_frequent_attribute_pairs(s, d):
+    exploded = keyword_rows(s, d).select("ord", F.explode(T.split_keywords(F.col("review_keywords"))).alias("k"))
+    return J.co_purchase_pairs(exploded, ["ord"], "k", 3)
+
+
 @query(sql("krows", f"SELECT ord, k AS keyword FROM (SELECT ord, unnest({KW}) AS k FROM krows) WHERE k IN ('the', 'and', 'der', 'los')"))
 def g8_allowed_attributes(s, d):
     return G.allowed_attributes(keyword_rows(s, d), T.split_keywords(F.col("review_keywords")), ["the", "and", "der", "los"]).select("ord", "keyword")

@@ -154,6 +154,15 @@ def a31_promo_list_by_item(s, d):
     return J.promo_list_by_item(promotions(s, d))
 
 
+CHUNKED = "+n AS (SELECT DISTINCT item_code, event_name FROM promo WHERE trim(event_name) <> ''), o AS (SELECT *, sum(length(event_name) + 2) OVER (PARTITION BY item_code ORDER BY event_name) - length(event_name) - 2 AS before FROM n) "
+
+
+@query(sql("promo", CHUNKED + "SELECT item_code, CAST(before // 200 AS BIGINT) AS chunk, count(*) AS n, string_agg(event_name, ', ' ORDER BY event_name) AS merged FROM o GROUP BY 1, 2"))
+def a31_promo_list_in_chunks(s, d):
+    names = promotions(s, d).select("item_code", "event_name").distinct()
+    return A.merge_in_chunks(names, "item_code", ["event_name"], "event_name", ", ", 200)
+
+
 @query(sql("promo", "+dg AS (SELECT event_name, count(DISTINCT item_code) AS d FROM promo GROUP BY 1) SELECT count(*) AS n_nodes, round(quantile_cont(d, 0.5), 2) AS median, max(d) AS largest, count_if(d = 1) AS n_single, round(100 * count_if(d = 1) / count(*), 2) AS single_pct, count_if(d >= (SELECT quantile_cont(d, 0.99) FROM dg)) AS n_hubs FROM dg"))
 def a32_node_degree(s, d):
     return A.node_degree(promotions(s, d), "event_name")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -72,17 +71,35 @@ def recoded(c: Column, source: str, target: str) -> Column:
     return run(c)
 
 
+def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(line): the lines below the header of text files in any character set whose characters hold no line feed; empty lines are left out.
+
+    Files are split by bytes as Spark splits any text. A split that begins a file drops its first
+    line, the header. Bad bytes become U+FFFD.
+    """
+    raw = spark.read.text(path).filter(F.length("value") > 0)
+    placed = raw.select(F.col("value").cast("binary").alias("bytes"), F.concat_ws("@", "_metadata.file_path", "_metadata.file_block_start").alias("place"), (F.col("_metadata.file_block_start") == 0).alias("begins"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            header = batch["begins"].astype(bool) & (batch["place"] != batch["place"].shift(fill_value=last))
+            last = batch["place"].iloc[-1] if len(batch) else last
+            yield pd.DataFrame({"line": [bytes(b).decode(encoding, "replace") for b in batch["bytes"][~header]]}, dtype=object)
+
+    return placed.mapInPandas(decode, "line string")
+
+
 def read_csv_encoded(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """CSV in another character set: one that Spark reads, or any whose multi-byte characters hold no separator or quote.
+    """CSV in another character set; what doesn't fit a column's type is null.
 
-    Those (such as CP949) are split as bytes and decoded afterwards, column by column; bad bytes become U+FFFD.
+    A set that Spark's reader doesn't take (such as CP949, Shift-JIS) is decoded line by line before
+    lines are split into fields, so a character may hold the byte of a separator, quote or
+    backslash. There a quoted field must not hold a line feed.
     """
-    reader = spark.read.option("header", True)
     if encoding.upper() in SPARK_CHARSETS:
-        return reader.schema(schema).option("encoding", encoding).csv(path)
-    fields = StructType.fromDDL(schema).fields
-    raw = reader.schema(StructType([StructField(f.name, StringType()) for f in fields])).option("encoding", "ISO-8859-1").csv(path)
-    return raw.select(*[recoded(F.col(f"`{f.name}`"), "iso-8859-1", encoding).try_cast(f.dataType).alias(f.name) for f in fields])
+        return spark.read.option("header", True).schema(schema).option("encoding", encoding).csv(path)
+    return decoded_lines(spark, path, encoding).select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def read_monthly_folders(spark: SparkSession, root: str, schema: str) -> DataFrame:
