@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: The tables that each running ``stored_step`` has stored so far, the innermost last.
+_steps: list[list[DataFrame]] = []
+
+
+def stored_step(step: Callable[[], DataFrame], what: str) -> DataFrame:
+    """The ``stored`` result of a step; the tables that the step has stored on its way are discarded."""
+    _steps.append([])
+    try:
+        found = stored(step(), what)
+    finally:
+        made = _steps.pop()
+    for t in made:
+        if t is not found:
+            discard(t)
+    freed(found.sparkSession)
+    return found
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
@@ -47,6 +65,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
+    if _steps:
+        _steps[-1].append(found)
     return found
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import salted_join, stored, unused
+from shelfwise.llm.common import discard, salted_join, stored, unused
 from shelfwise.llm.components import connected_components
 
 #: Lines of fewer characters match when equal only: an edit is a large part of them.
@@ -147,7 +147,10 @@ def _sized(rows: DataFrame) -> DataFrame:
     ``rows`` has a row once. The counts are stored before they are joined, so that a hot key's rows can be split.
     """
     counts = rows.groupBy("key").agg(F.count(F.when(_indexed(), 1)).alias("n"), F.count("*").alias("all")).filter("n > 0 and `all` > 1").drop("all")
-    return stored(rows.join(stored(counts, "line-counts"), "key"), "line-groups")
+    counted = stored(counts, "line-counts")
+    found = stored(rows.join(counted, "key"), "line-groups")
+    discard(counted)
+    return found
 
 
 def _met(sized: DataFrame, edits: int) -> DataFrame:
@@ -195,7 +198,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     keyed = full.select("line_id", _letter_counts(F.col("line")).alias("letters"), F.explode(line_keys(edits)).alias("k")).select("k.key", "line_id", "letters", "k.code")
     # most keys belong to one line, and the copies of a line are no reason to keep its keys
     shared = keyed.groupBy("key").agg(F.min("line_id").alias("least"), F.max("line_id").alias("most"), F.min(F.col("code") % 2).alias("code")).filter("least < most and code = 0").select("key")
-    sized = _sized(stored(keyed.join(stored(shared, "line-keys"), "key").distinct(), "line-members"))
+    keys = stored(shared, "line-keys")
+    members = stored(keyed.join(keys, "key").distinct(), "line-members")
+    discard(keys)
+    sized = _sized(members)
+    discard(members)
+    groups = [sized]
     limit = group if edits == 1 else 1 << 62
     met, stars, longer = [_met(sized.filter(F.col("n") <= limit), edits)], [], []
     hot = sized.filter(F.col("n") > limit)
@@ -204,6 +212,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         now = _windows(hot, texts)
         while True:
             sized = _sized(_halved(now))
+            groups.append(sized)
             met.append(_met(sized.filter(F.col("n") <= limit), edits))
             crowded = sized.filter(F.col("n") > limit)
             one = F.length("rest") - F.col("code") <= 1
@@ -214,11 +223,15 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
                 break
     pairs = stored(_union(met).distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
+    if not stars:  # else the longer lines and the stars still read them
+        discard(groups.pop())
     texts_of = stored(full.join(wanted, "line_id", "left_semi").distinct(), "line-texts")
     both = pairs.join(texts_of.select(F.col("line_id").alias("a"), F.col("line").alias("ta")), "a").join(texts_of.select(F.col("line_id").alias("b"), F.col("line").alias("tb")), "b")
     near = both.filter(banded_distance(F.col("ta"), F.col("tb"), edits) <= edits).select("a", "b")
     if not stars:
         links = stored(near, "line-links")
+        for t in (pairs, texts_of):
+            discard(t)
         return links, links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("links"))
     # where the others agree on all else, a line a character longer can be one of two of them and that character
     without = _union(longer).distinct().join(texts, "line_id").withColumn("i", F.explode(F.array(F.col("at"), F.col("at") + 1)))
@@ -226,8 +239,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     known = shorter.join(texts.select(F.col("line_id").alias("a")), "a").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = stored(near.union(known).distinct(), "line-links")
     star = stored(_union(stars), "line-stars")
-    roots = star.groupBy("key").agg(F.min("line_id").alias("root"), (F.count("*") - 1).alias("others"))
-    stood = stored(star.join(stored(roots, "line-roots"), "key"), "line-stars")
+    for t in (*groups, texts, pairs, texts_of):
+        discard(t)
+    root = stored(star.groupBy("key").agg(F.min("line_id").alias("root"), (F.count("*") - 1).alias("others")), "line-roots")
+    stood = stored(star.join(root, "key"), "line-stars")
+    for t in (star, root):
+        discard(t)
     edges = links.union(stood.filter("line_id <> root").select(F.col("line_id").alias("a"), F.col("root").alias("b")))
     degrees = links.select(F.explode(F.array("a", "b")).alias("line_id"), F.lit(1).cast("long").alias("n")).union(stood.select("line_id", "others"))
     return stored(edges, "line-edges"), degrees.groupBy("line_id").agg(F.sum("n").alias("links"))
@@ -246,7 +263,10 @@ def line_classes(lines: DataFrame, places: DataFrame, edits: int = EDITS, min_ch
     counts = places.groupBy("line_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     found = stored(counts.join(named, "line_id", "left").join(degree, "line_id", "left").filter("n > 1 or class_id is not null").select("line_id", F.coalesce("class_id", "line_id").alias("class_id"), "n", "first_doc", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "line-classes")
     whole = found.groupBy("class_id").agg(F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"))
-    return stored(found.select("line_id", "class_id", "links", F.col("n").alias("own")).join(whole, "class_id"), "line-classes")
+    classes = stored(found.select("line_id", "class_id", "links", F.col("n").alias("own")).join(whole, "class_id"), "line-classes")
+    for t in (links, found):
+        discard(t)
+    return classes
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import stored, unused
+from shelfwise.llm.common import discard, salted_join, stored, unused
 from shelfwise.llm.components import connected_components
 
 BITS = 64
@@ -211,10 +211,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     columns, whatever their names, aren't read. Ids are longs.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id"))
+    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "fingerprint-groups")
+    nodes = groups.filter("id is not null").select("fp", "id")
     found = connected_components(fingerprint_links(nodes, radius)).select(F.col("node").alias("id"), "component")
-    named = nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(named, "fp", "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    named = stored(groups.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "fingerprint-classes")
+    discard(groups)
+    return salted_join(fps, named, "fp", "n", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 #: Bands of shingle minima and minima in a band: a pair of similarity 0.8 shares none in three cases of a million.
@@ -346,16 +348,22 @@ def similarity_components(members: DataFrame, sets: DataFrame, similarity: float
     named = connected_components(links)
     crowded = parted.filter(F.col("n") > part_limit)
     if crowded.isEmpty():
+        discard(links)
         return named
     classed = stored(crowded.join(named.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node")), "near-classes")
     largest = classed.groupBy("shard", "class").agg(F.count("*").alias("m")).groupBy("shard").agg(F.max_by("class", F.struct("m", "class")).alias("main"))
     rest = classed.join(largest, "shard").filter("class <> main").drop("main")
     if rest.isEmpty():
+        for t in (links, classed):
+            discard(t)
         return named
     own = classed.join(rest.select("shard").distinct(), "shard", "left_semi").withColumn("visits", F.lit(False))
     visitors = rest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("visits", F.lit(True))
     more = stored(_links_across(own.unionByName(visitors).join(sets, "node"), similarity), "near-links")
-    return connected_components(links.union(more))
+    found = connected_components(links.union(more))
+    for t in (links, classed, more):
+        discard(t)
+    return found
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, part_limit: int = 512) -> DataFrame:
@@ -374,14 +382,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = sketches.select("node", F.explode("bands").alias("shard")).distinct()
     crowded = banded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(crowded, "shard"), "shards")
-    wanted = sketches.select("id", "row", "node").join(members.select("node").distinct(), "node", "left_semi")
-    one = wanted.groupBy("node").agg(F.min(F.struct("id", "row")).alias("s")).select("node", "s.*")
+    rows = sketches.select("id", "row", "node").distinct()
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("s"), F.count("*").alias("n")), "near-nodes")
+    one = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "s.*")
     sets = stored(_shingle_sets(texts.join(one, ["id", "row"]).dropDuplicates(["node"]).select("node", "text"), shingle), "shingles")
     named = similarity_components(members, sets, similarity, part_limit)
-    classed = sketches.select("id", "row", "node").distinct().join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classed.groupBy("component").agg(F.min(F.struct("id", "node", "row")).alias("least"))
+    classed = stored(nodes.join(named, "node", "left").select("node", "s", "n", F.coalesce("component", "node").alias("component")), "near-classes")
+    least = stored(classed.groupBy("component").agg(F.min(F.struct("s.id", "node", "s.row")).alias("least"), F.count("*").alias("nodes")), "near-firsts")
+    by_node = stored(salted_join(classed.select("node", "n", "component"), least, "component", "nodes", "node").select("node", "n", "least"), "near-classes")
+    for t in (members, sets, nodes, classed, least):
+        discard(t)
     mark = (F.col("id") == F.col("least.id")) & (F.col("node") == F.col("least.node")) & (F.col("row") == F.col("least.row"))
-    return classed.join(least, "component").select(F.col("id").alias("doc_id"), "row", F.col("least.id").alias("component_id"), mark.alias("first"))
+    # copies of one text are one node: those are dealt
+    return salted_join(rows, by_node, "node", "n", "id").select(F.col("id").alias("doc_id"), "row", F.col("least.id").alias("component_id"), mark.alias("first"))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, part_limit: int = 512) -> DataFrame:

@@ -140,10 +140,10 @@ def _limited(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterato
 
 
 def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS, parts: int = PARTS) -> DataFrame:
-    """(seed, doc_id, place, run, part) from (doc_id, text); part is the seed's hash modulo ``parts``.
+    """(seed, doc_id, place, run, again, part) from (doc_id, text); part is the seed's hash modulo ``parts``.
 
     The number of a seed's earlier occurrences in that row is mixed into it; run is the hash of
-    the ``run_words`` words from there on, null if there are fewer.
+    the ``run_words`` words from there on, null if there are fewer; again: an earlier place of the row has that run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +157,14 @@ def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words:
             room = place + run_words <= sizes[row]
             long = np.zeros(len(seed), dtype=np.int64)
             long[room] = run_hashes(flat, (begin[row] + place)[room], run_words)
+            again = np.zeros(len(seed), dtype=bool)
+            again[room] = occurrence(row[room], long[room]) > 0
             nth = occurrence(row, seed).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             part = (seed.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-            columns = [pa.array((seed.view(np.uint64) ^ nth).view(np.int64), pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(long, pa.int64(), mask=~room), pa.array(part, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["seed", "doc_id", "place", "run", "part"])
+            columns = [pa.array((seed.view(np.uint64) ^ nth).view(np.int64), pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(long, pa.int64(), mask=~room), pa.array(again), pa.array(part, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "doc_id", "place", "run", "again", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, run long, part int")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, run long, again boolean, part int")
 
 
 class PrefixMax:
@@ -322,14 +324,16 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     for found in parts:
         firsts = stored(found.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "firsts")
         freed(spark)
-        kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "ref_id", "ref_place"), "met")
+        kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "again", "ref_id", "ref_place"), "met")
         tables.append(kept)
         met = kept if met is None else met.union(kept)
         for t in (found, firsts):
             discard(t)
         freed(spark)
     runs = met.filter("run is not null")
-    by_run = stored(runs.groupBy("run").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "runs")
+    # a row that repeats a run is referred to at its first place: any other choice would change from call to call
+    first = F.when(~F.col("again"), F.col("doc_id"))
+    by_run = stored(runs.groupBy("run").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", first).alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "runs")
     # most runs lead where their seeds lead
     others = salted_join(runs.select("run", "doc_id", "place", F.col("ref_id").alias("known")), by_run, "run", "n", "doc_id").filter("ref_id <> known")
     columns = ["doc_id", "place", "ref_id", "ref_place"]

@@ -286,3 +286,18 @@ def test_language_of_letters_only_and_of_clashing_columns(spark):
     assert [found[i]["lang_pred"] == "und" for i in (1, 2, 3, 4)] == [True, False, True, False]
     assert all(0 <= r["score"] <= 1 for r in found.values()) and len(found[1]) == 5
     assert identify(asked.limit(0), {}).count() == 0
+
+
+def test_a_repeated_run_is_referred_to_at_its_first_place(spark):
+    """The reference holds a run of 45 words three times: every call, however the rows lie, points at the first."""
+    from shelfwise.llm.substring_dedup import repeated_passages
+
+    words = [f"w{i}" for i in range(45)]
+    filler = lambda n, m: [f"{n}{i}" for i in range(m)]
+    rows = [(1, [*filler("a", 30), *words, *filler("b", 9), *words, *filler("c", 60), *words]), (0, words[:22] + filler("d", 50)), (2, [*filler("e", 20), *words, *filler("f", 70), *words]), (3, words)]
+    rows += [(10 + i, filler(f"z{i}x", 60)) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    columns = ["doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "edits"]
+    calls = [sorted(tuple(r) for r in repeated_passages(docs.repartition(n, order)).select(*columns).collect()) for n, order in ((1, "doc_id"), (7, "text"), (3, "doc_id"))]
+    assert calls[0] == calls[1] == calls[2]
+    assert [(r[1], r[2], r[4]) for r in calls[0] if r[0] == 3 and r[3] == 1] == [(0, 45, 30)]
