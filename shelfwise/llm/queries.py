@@ -8,6 +8,7 @@ from shelfwise.llm.gif import op6_gif
 from shelfwise.llm.jaccard_join import op11_jaccard_join
 from shelfwise.llm.langid import op8_langid
 from shelfwise.llm.line_dedup import op9_line_dedup
+from shelfwise.llm.oracles import OP11, OP13
 from shelfwise.llm.packing import op4_packing
 from shelfwise.llm.pieces import op1_sampled_pieces
 from shelfwise.llm.quality_rules import op7_quality_rules
@@ -32,4 +33,4 @@ QUERIES = {
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_jaccard_join": OP11, "op13_fill_in_middle": OP13}
