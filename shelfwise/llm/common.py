@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Scratch tables are read once or twice: smaller files are worth the time.
+STORED_CODEC = "zstd"
 #: The tables that each running ``stored_step`` has stored so far, the innermost last.
 _steps: list[list[DataFrame]] = []
 
@@ -62,7 +64,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=STORED_CODEC)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
     if _steps:
@@ -73,7 +75,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def stored_parts(df: DataFrame, column: str, what: str, parts: int) -> list[DataFrame]:
     """``stored`` in parts by a column of numbers from 0, each of which can be read and discarded by itself, without that column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
+    df.write.partitionBy(column).parquet(path, compression=STORED_CODEC)
     whole = df.sparkSession.read.schema(df.schema).parquet(path)
     found = [whole.filter(F.col(column) == i).drop(column) for i in range(parts)]
     for i, part in enumerate(found):

@@ -32,7 +32,7 @@ MIN_WORDS, MIN_IDENTITY = 40, 0.8
 #: Words that may lie between two matches of a passage, and what a word of gap costs in matches.
 MAX_GAP, GAP_COST = 48, 0.01
 #: Seeds are written once, in so many parts by their hash, and matched part by part, so that the disk holds one part's shuffle files at a time.
-PARTS = 4
+PARTS = 8
 #: Words beyond a chain's end that are looked at, inserted or left-out words followed there, the
 #: loss in value at which that ends, and what an edit costs in equal words.
 MARGIN, BAND, DROP, EDIT_COST = 48, 8, 24, 3
