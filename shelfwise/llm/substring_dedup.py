@@ -384,7 +384,7 @@ def _chained(matches: DataFrame, k: int) -> DataFrame:
 
 
 def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
-    """(id, lo, hi, words, from): 32 bits of the word hashes of each asked range with a margin; from: where they begin."""
+    """(id, lo, hi, weight, words, from): 32 bits of the word hashes of each asked range with a margin; from: where they begin. ``sides``: (id, lo, hi, weight), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -392,7 +392,7 @@ def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
             ranges, parts, lows = batch.column(1), [np.empty(0, dtype=np.int32)], []
             sizes = pa.compute.list_value_length(ranges).to_numpy(zero_copy_only=False)
             flat = ranges.flatten()
-            lo, hi = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi"))
+            lo, hi, weight = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "weight"))
             at = 0
             for size, text in zip(sizes.tolist(), batch.column(2), strict=True):
                 short = hasher.hashes(text.as_py()).astype(np.uint32).view(np.int32)
@@ -401,14 +401,14 @@ def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
                     lows.append(low)
                 at += size
             own = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes), pa.int64()))
-            lo, hi, low = (pa.array(x, pa.int64()) for x in (lo, hi, lows))
+            lo, hi, weight, low = (pa.array(x, pa.int64()) for x in (lo, hi, weight, lows))
             ends = np.cumsum([len(x) for x in parts])
             words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([own, lo, hi, words, low], names=["id", "lo", "hi", "words", "from"])
+            yield pa.RecordBatch.from_arrays([own, lo, hi, weight, words, low], names=["id", "lo", "hi", "weight", "words", "from"])
 
-    asked = sides.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    asked = sides.groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("ranges"))
     joined = asked.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
-    return joined.select("id", "ranges", "text").mapInArrow(run, "id long, lo long, hi long, words array<int>, from long")
+    return joined.select("id", "ranges", "text").mapInArrow(run, "id long, lo long, hi long, weight long, words array<int>, from long")
 
 
 def _aligned(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
@@ -474,21 +474,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_identity:
     for t in matches._made_of:
         discard(t)
     freed(docs.sparkSession)
-    here = found.select(F.col("doc_id").alias("id"), F.col("start").alias("lo"), F.col("end").alias("hi"))
-    there = found.select(F.col("ref_id").alias("id"), F.col("ref_start").alias("lo"), F.col("ref_end").alias("hi"))
-    slices = stored(_slices(texts, here.union(there).distinct(), MARGIN), "slices")
+    here = found.select(F.col("doc_id").alias("id"), F.col("start").alias("lo"), F.col("end").alias("hi"), F.lit(0).alias("weight"))
+    there = found.select(F.col("ref_id").alias("id"), F.col("ref_start").alias("lo"), F.col("ref_end").alias("hi"), F.lit(1).alias("weight"))
+    # weight: the rows that refer to a range
+    asked = here.union(there).groupBy("id", "lo", "hi").agg(F.sum("weight").alias("weight"))
+    slices = stored(_slices(texts, asked, MARGIN), "slices")
     freed(docs.sparkSession)
     a = slices.select(F.col("id").alias("doc_id"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("words").alias("a"), F.col("from").alias("a0"))
-    b = slices.select(F.col("id").alias("ref_id"), F.col("lo").alias("ref_start"), F.col("hi").alias("ref_end"), F.col("words").alias("b"), F.col("from").alias("b0"))
+    b = slices.filter("weight > 0").select(F.xxhash64("id", "lo", "hi").alias("side"), "weight", F.col("id").alias("_ref_id"), F.col("lo").alias("_ref_start"), F.col("hi").alias("_ref_end"), F.col("words").alias("b"), F.col("from").alias("b0"))
     # one passage that many documents repeat is the reference of as many rows: deal those
     met = found.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end"))
-    sides = stored(met.groupBy("side").agg(F.count("*").alias("weight")), "sides")
-    there = b.withColumn("side", F.xxhash64("ref_id", "ref_start", "ref_end")).join(sides, "side")
-    theirs = there.select("side", "weight", *[F.col(c).alias(f"_{c}") for c in ("ref_id", "ref_start", "ref_end")], "b", "b0")
-    joined = salted_join(met, theirs, "side", "weight", "doc_id").filter("ref_id = _ref_id and ref_start = _ref_start and ref_end = _ref_end")
+    joined = salted_join(met, b, "side", "weight", "doc_id").filter("ref_id = _ref_id and ref_start = _ref_start and ref_end = _ref_end")
     both = joined.join(a, ["doc_id", "start", "end"])
     aligned = stored(_aligned(both.select("doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "a", "a0", "b", "b0"), min_words, min_identity), "aligned")
-    for t in (found, slices, sides):
+    for t in (found, slices):
         discard(t)
     freed(docs.sparkSession)
     # chains of one pair that were widened to the same passage are one row
