@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import pad_code, strip
+from shelfwise.functions.text import BLANKS, pad_code, strip
 
 # Fixed values.
 NON_FOOD_WORDS = ["텀블러", "머그", "커피밀", "여과지", "그라인더", "티스픈", "잔세트", "유리머그", "포장Tray", "봉투", "박스", "금액키", "쿠폰", "소모품", "Tray"]
@@ -64,9 +64,9 @@ def primary_attribution(events: DataFrame) -> DataFrame:
     return events.filter(F.col("is_primary").cast("string").isin("참", "true", "True"))
 
 
-def normalise_blank(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Trimmed; rows with an empty or null value in one of the columns go."""
-    out = df.withColumns({c: F.nullif(strip(F.col(c)), F.lit("")) for c in columns})
+def normalise_blank(df: DataFrame, columns: Sequence[str], blanks: str = BLANKS) -> DataFrame:
+    """Trimmed of the blanks; rows with an empty or null value in one of the columns go."""
+    out = df.withColumns({c: F.nullif(strip(F.col(c), blanks), F.lit("")) for c in columns})
     return out.dropna(subset=list(columns))
 
 
