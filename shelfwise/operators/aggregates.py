@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.joins import RECEIPT, range_join
 from shelfwise.operators.ordering import grouped_prefix_sums, grouped_running_max, percentiles
+from shelfwise.sources.files import written
 
 # Fixed values.
 PLACEHOLDERS = ["-", "N/A", "n/a", "없음", "미정", "0", "미분류", "null", "NULL", "?", "."]
@@ -49,8 +50,9 @@ def format_errors(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
 
 def anomaly_report(df: DataFrame, dates: Sequence[str], numbers: Sequence[str], texts: Sequence[str], years: tuple[int, int] = (2010, 2026)) -> DataFrame:
     """Dates outside the years; zero, negative and extreme (over ten times the 99th percentile) numbers; placeholder strings."""
-    edges = percentiles(df, numbers, [0.99]).select(*[F.get(c, F.lit(0)).alias(f"_q_{c}") for c in numbers])
-    joined = df.join(F.broadcast(edges))
+    stored = written(df.select(*dict.fromkeys([*dates, *numbers, *texts])))  # read for each number and for the report
+    edges = percentiles(stored, numbers, [0.99]).select(*[F.get(c, F.lit(0)).alias(f"_q_{c}") for c in numbers])
+    joined = stored.join(F.broadcast(edges))
     rows = [F.struct(F.lit(c).alias("column"), F.lit("date").alias("kind"), F.count_if(~F.year(c).between(*years)).alias("n")) for c in dates]
     rows += [F.struct(F.lit(c).alias("column"), F.lit("number").alias("kind"), F.count_if((F.col(c) <= 0) | (F.col(c) > 10 * F.col(f"_q_{c}"))).alias("n")) for c in numbers]
     rows += [F.struct(F.lit(c).alias("column"), F.lit("text").alias("kind"), F.count_if(F.col(c).isin(PLACEHOLDERS)).alias("n")) for c in texts]
@@ -109,8 +111,9 @@ def success_label(weekly: DataFrame, classes: DataFrame, least_avg: float = 119,
 
 
 def distribution(df: DataFrame, column: str, quantiles: dict[str, float]) -> DataFrame:
-    edges = percentiles(df, [column], list(quantiles.values()))
-    return df.agg(F.round(F.avg(column), 4).alias("mean")).join(F.broadcast(edges)).select("mean", *[F.round(F.get(column, F.lit(i)), 4).alias(k) for i, k in enumerate(quantiles)])
+    rows = written(df.select(column))  # read for the quantiles and for the mean
+    edges = percentiles(rows, [column], list(quantiles.values()))
+    return rows.agg(F.round(F.avg(column), 4).alias("mean")).join(F.broadcast(edges)).select("mean", *[F.round(F.get(column, F.lit(i)), 4).alias(k) for i, k in enumerate(quantiles)])
 
 
 def node_degree(df: DataFrame, key: str) -> DataFrame:

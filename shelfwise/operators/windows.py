@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ordering import grouped_percentiles, grouped_prefix_sums, percentiles, prefix_sums, value_ranks
+from shelfwise.sources.files import written
 
 ROWS = (Window.unboundedPreceding, Window.currentRow)
 
@@ -138,7 +139,7 @@ def gini_by_group(counts: DataFrame, group: str, measure: str = "x") -> DataFram
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman: Pearson's coefficient of average ranks. Distinct values are ranked and joined back; rows with a null are left out."""
-    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null")
+    rows = written(df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter("x is not null and y is not null"))  # read for either rank and for the join
     rank = lambda c: value_ranks(rows, c).select(F.col("value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
     return rows.join(rank("x"), "x").join(rank("y"), "y").agg(F.round(F.corr("rx", "ry"), 6).alias("spearman"))
 
