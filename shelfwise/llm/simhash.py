@@ -10,10 +10,10 @@ A crowded shard is divided by blocks of the bits it doesn't fix, again and again
 divisions so few bits are open that no shard can hold more than a thousand nodes.
 
 ``similar_classes`` serves a similarity of whole texts (Jaccard of word shingles) instead of a
-bit distance. At a similarity of 0.8 fingerprints differ in ten bits on average, so no few
-blocks of bits agree, and repeated shingles move a fingerprint but not the similarity: there,
-texts share a shard when they agree on a band of shingle minima, and the shingle sets alone
-decide on each link. A crowded shard's texts are compared part by part, and then across parts
+bit distance. The same trees join the fingerprints of the distinct shingles, and a class of them
+is a shard of texts. At a similarity of 0.8 fingerprints differ in ten bits on average, so no few
+blocks of bits agree: for what lies beyond the radius texts also share a shard when they agree on
+a band of shingle minima. The shingle sets alone decide on each link. A crowded shard's texts are compared part by part, and then across parts
 where they are not in one class already, so no task holds more than a part's sets.
 
 The shard trees meet their queries by a shuffle on the shard key. Broadcasting them all, as
@@ -201,6 +201,16 @@ def fingerprint_links(nodes: DataFrame, radius: int = 2, shard_limit: int = 1024
     return shards.repartition(*by).sortWithinPartitions(*by, "fp").mapInPandas(run, "a long, b long")
 
 
+def fingerprint_classes(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, component_id, n), stored: a row for each fingerprint of ``fps`` (id, fp; stored), its class's smallest id and its own number of rows."""
+    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "fingerprint-groups")
+    nodes = groups.filter("id is not null").select("fp", "id")
+    found = connected_components(fingerprint_links(nodes, radius)).select(F.col("node").alias("id"), "component")
+    named = stored(groups.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "fingerprint-classes")
+    discard(groups)
+    return named
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -211,12 +221,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     columns, whatever their names, aren't read. Ids are longs.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    groups = stored(fps.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "fingerprint-groups")
-    nodes = groups.filter("id is not null").select("fp", "id")
-    found = connected_components(fingerprint_links(nodes, radius)).select(F.col("node").alias("id"), "component")
-    named = stored(groups.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "fingerprint-classes")
-    discard(groups)
-    return salted_join(fps, named, "fp", "n", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return salted_join(fps, fingerprint_classes(fps, radius), "fp", "n", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 #: Bands of shingle minima and minima in a band: a pair of similarity 0.8 shares none in three cases of a million.
@@ -233,18 +238,32 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, row, node, bands) from (id, row, text): node is a hash of the words, equal for texts with the same words."""
+    """(id, row, node, fp, bands) from (id, row, text): node is a hash of the words, equal for texts with the same words.
+
+    fp is the fingerprint of the distinct shingles: repeats move neither it nor the similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands = [], []
+            nodes, fps, bands = [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 1) - (1 << 63))
+                fps.append(_signed(fingerprint_of(np.unique(hashes))))
                 bands.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "row", "node", "fp", "bands"])
+
+    return texts.mapInArrow(run, "id long, row long, node long, fp long, bands array<long>")
+
 
-    return texts.mapInArrow(run, "id long, row long, node long, bands array<long>")
+def _fingerprint_shards(sketches: DataFrame, radius: int) -> DataFrame:
+    """(node, shard): a shard for each class of two nodes or more that the BK-trees join by fingerprints."""
+    fps = stored(sketches.select(F.col("node").alias("id"), "fp").distinct(), "near-fingerprints")
+    classes = fingerprint_classes(fps, radius)
+    several = classes.groupBy("component_id").agg(F.sum("n").alias("nodes")).filter("nodes > 1").select("component_id")
+    shards = stored(classes.join(several, "component_id", "left_semi").select("fp", F.xxhash64(F.lit("fingerprint"), "component_id").alias("shard"), "n"), "fingerprint-shards")
+    discard(classes)
+    return salted_join(fps, shards, "fp", "n", "id").select(F.col("id").alias("node"), "shard")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -366,20 +385,22 @@ def similarity_components(members: DataFrame, sets: DataFrame, similarity: float
     return found
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, part_limit: int = 512) -> DataFrame:
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, part_limit: int = 512, radius: int = 2) -> DataFrame:
     """(doc_id, row, component_id, first): classes of texts whose shingle sets have this Jaccard similarity or more, through any chain.
 
+    Texts are compared where the BK-trees put their fingerprints into one class (links of
+    ``radius`` or fewer bits) and where they share a band; their shingle sets decide on a link.
     A row for each id and text; ``row`` is the text's hash (xxhash64 of Spark). component_id is
     the class's smallest id, and ``first`` marks one text of each class, of that id: the one
     with the smallest hash of its words and then of itself. Texts with the same words are one
-    node, and only nodes that share a band with another carry their shingles to a shard. Null
+    node, and only nodes that share a class or a band with another carry their shingles to a shard. Null
     and wordless texts form no class; null ids are left out; rows that share an id are apart
     unless their texts are alike. An empty table stays empty. Other columns aren't read.
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).filter("id is not null")
     sketches = stored(_sketches(texts, shingle).filter(F.size("bands") > 0), "sketches")
-    banded = sketches.select("node", F.explode("bands").alias("shard")).distinct()
+    banded = sketches.select("node", F.explode("bands").alias("shard")).union(_fingerprint_shards(sketches, radius)).distinct()
     crowded = banded.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(crowded, "shard"), "shards")
     rows = sketches.select("id", "row", "node").distinct()
