@@ -66,13 +66,20 @@ def gram_buckets(words: str, buckets: int) -> Column:
     return F.concat(ones, twos)
 
 
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``docs`` plus _trusted: true for the ids that ``trusted`` has, else null.
+
+    The ids grow with the documents, so they are never broadcast: small tables are joined as large ones are.
+    """
+    return docs.join(trusted.withColumn("_trusted", F.lit(True)).hint("merge"), "doc_id", "left")
+
+
 def _bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
     """N-grams by bucket, of all documents and of those whose id ``trusted`` has, in one pass.
 
     Partial counts are summed before they move, at most ``buckets`` rows arrive.
     """
-    marked = docs.join(trusted.withColumn("_trusted", F.lit(True)), "doc_id", "left")
-    grams = marked.select(words_of(F.col("text")).alias("w"), F.col("_trusted").isNotNull().alias("t")).select("t", F.explode(gram_buckets("w", buckets)).alias("b"))
+    grams = _marked(docs, trusted).select(words_of(F.col("text")).alias("w"), F.col("_trusted").isNotNull().alias("t")).select("t", F.explode(gram_buckets("w", buckets)).alias("b"))
     counts = {r["b"]: (r["n"], r["t"]) for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.count_if("t").alias("t")).collect()}
     raw, target = zip(*(counts.get(b, (0, 0)) for b in range(buckets)), strict=True)
     return list(raw), list(target)
@@ -108,7 +115,7 @@ def threshold_from(scores: DataFrame, labels: DataFrame, good_lost: float = GOOD
     bad ones the ``good_lost`` quantile; without good ones nothing is cut. One row reaches the driver at a time.
     """
     sides = [labelled_ids(labels, good)[1].select("doc_id", F.lit(int(good)).alias("_good"), F.lit(int(not good)).alias("_bad")) for good in (True, False)]
-    seen = scores.filter("n_words >= 50").join(sides[0].union(sides[1]), "doc_id")
+    seen = scores.filter("n_words >= 50").join(sides[0].union(sides[1]).hint("merge"), "doc_id")
     counts = seen.groupBy("score").agg(F.sum("_good").alias("n_good"), F.sum("_bad").alias("n_bad"))
     ranks = prefix_sums(counts, ["score"], good=F.col("n_good"), bad=F.col("n_bad"))
     whole = ranks.agg(F.coalesce(F.sum("n_good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n_bad"), F.lit(0)).alias("bad")).first()

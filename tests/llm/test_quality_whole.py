@@ -31,3 +31,12 @@ def test_multinomial_counts_every_trusted_document(spark):
     trusted = Q.labelled_ids(docs.select("doc_id", F.lit(1).alias("quality")), True)[0]
     raw, target = Q._bucket_counts(docs, trusted, 16)
     assert (sum(raw), sum(target)) == (40_000, trusted.count()) and sum(target) > 20_000
+
+
+def test_labels_are_joined_alike_at_every_size(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    trusted = Q.labelled_ids(docs.select("doc_id", F.lit(1).alias("quality")), True)[0]
+    marked = Q._marked(docs, trusted)
+    assert marked.filter("_trusted").count() == trusted.count() and marked.count() == 50
+    plan = marked._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
