@@ -12,6 +12,7 @@ from shelfwise.operators import joins as J
 from shelfwise.operators import ordering as O
 from shelfwise.operators import windows as W
 from shelfwise.plans.registry import query
+from shelfwise.sources.files import written
 from shelfwise.sources.tables import item_master, promotions, sales_lines, sql
 
 CATS = "+pc AS (SELECT p.*, i.cat_l, i.cat_m, i.cat_s FROM promo p LEFT JOIN items i USING (item_code)) "
@@ -92,8 +93,8 @@ def mentions(s, d):
     return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("mention_id"), F.col("o_orderdate").cast("date").alias("post_date"), F.col("p_name").alias("product"))
 
 
-def matched(s, d):
-    return J.post_promo_match(mentions(s, d), P.cap_end_date(promotions(s, d)))
+def matched(s, d, said=None):
+    return J.post_promo_match(mentions(s, d) if said is None else said, P.cap_end_date(promotions(s, d)))
 
 
 @query(sql("promo", MENTIONS + "SELECT * FROM best"))
@@ -103,13 +104,14 @@ def j12_post_promo_match(s, d):
 
 @query(sql("promo", MENTIONS + "SELECT DISTINCT mention_id, product FROM mt WHERE mention_id NOT IN (SELECT mention_id FROM best)"))
 def j13_unmatched_mentions(s, d):
-    return J.unmatched_mentions(mentions(s, d), matched(s, d)).select("mention_id", "product")
+    said = written(mentions(s, d))  # read three times
+    return J.unmatched_mentions(said, matched(s, d, said)).select("mention_id", "product")
 
 
 @query(sql("promo", MENTIONS + ", strong AS (SELECT * FROM best WHERE score >= 2), weak AS (SELECT * FROM best) SELECT mention_id, max(score) AS score FROM (FROM strong UNION ALL FROM weak) GROUP BY 1"))
 def w15_best_match(s, d):
     """Two runs of the match joined: the higher score stays."""
-    best = matched(s, d).select("mention_id", "score")
+    best = written(matched(s, d, written(mentions(s, d))).select("mention_id", "score"))
     return best.filter("score >= 2").unionByName(best).groupBy("mention_id").agg(F.max("score").alias("score"))
 
 

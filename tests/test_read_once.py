@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import aggregates as A
+from shelfwise.operators import joins as J
 from shelfwise.operators import windows as W
-from shelfwise.plans.promo import a45_season_counts
+from shelfwise.plans.promo import a45_season_counts, j13_unmatched_mentions, w15_best_match
 from shelfwise.streaming import incremental as I
 
 
@@ -37,3 +38,15 @@ def test_reextract_hands_on_what_is_asked_for(spark, tmp_path):
 def test_seasons_are_looked_for_once(spark):
     plan = a45_season_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("harvest") == 2  # the words of the names, and one search
+
+
+@pytest.mark.parametrize("query", [j13_unmatched_mentions, w15_best_match])
+def test_mentions_are_computed_once(spark, query):
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # the lines aren't joined again
+
+
+def test_repeated_ranges_stay_once(spark):
+    rows = [("a", "n", "2020-01-01", "2020-01-09"), ("b", "n", "2020-01-01", "2020-01-20"), ("c", "n", "2020-01-03", "2020-01-05")]
+    ranges = spark.createDataFrame(rows * 3, "event_code string, event_name string, s string, e string").select("event_code", "event_name", F.to_date("s").alias("start_date"), F.to_date("e").alias("end_date"))
+    assert sorted(r["event_code"] for r in J.foremost_ranges(ranges, ["event_name"]).collect()) == ["a", "b"]
