@@ -8,6 +8,7 @@ from shelfwise.operators import aggregates as A
 from shelfwise.operators import joins as J
 from shelfwise.operators import windows as W
 from shelfwise.plans.promo import a45_season_counts, j13_unmatched_mentions, w15_best_match
+from shelfwise.sources.tables import promotions, sales_lines
 from shelfwise.streaming import incremental as I
 
 
@@ -50,3 +51,16 @@ def test_repeated_ranges_stay_once(spark):
     rows = [("a", "n", "2020-01-01", "2020-01-09"), ("b", "n", "2020-01-01", "2020-01-20"), ("c", "n", "2020-01-03", "2020-01-05")]
     ranges = spark.createDataFrame(rows * 3, "event_code string, event_name string, s string, e string").select("event_code", "event_name", F.to_date("s").alias("start_date"), F.to_date("e").alias("end_date"))
     assert sorted(r["event_code"] for r in J.foremost_ranges(ranges, ["event_name"]).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("source", [sales_lines, promotions])
+def test_lines_are_not_sorted_to_meet_their_orders(spark, source):
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        found = source(spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    join = next(x for x in plan.splitlines() if "l_orderkey" in x and "Join" in x)
+    assert "ShuffledHashJoin" in join and "BuildRight" in join
