@@ -143,13 +143,14 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_by: str) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_by: str, hashed: bool = False) -> DataFrame:
     """Inner join on ``key`` whose hot keys are dealt to several tasks each.
 
     ``right`` is stored, has a key once and in ``weight`` the left rows that have it. A key with more
     rows than half a shuffle partition holds on average is hot, and is dealt to a task for each half.
     Those keys are fewer than twice the shuffle partitions, whatever the data, so they are
-    broadcast to mark the rows. ``weight`` isn't returned.
+    broadcast to mark the rows. ``weight`` isn't returned. ``hashed``: a task holds its share of
+    ``right`` as a hash, so that no left rows are sorted; it has to be much smaller than ``left``.
     """
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = right.agg(F.sum(weight)).first()[0] or 0
@@ -158,4 +159,5 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, weight: str, salt_b
     salt = F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("_ways")).cast("int"), F.lit(0))
     salts = F.coalesce(F.sequence(F.lit(0), F.col("_ways") - 1), F.array(F.lit(0)))
     salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_ways")
-    return salted.join(right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_ways", weight), [key, "_salt"]).drop("_salt")
+    dealt = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_ways", weight)
+    return salted.join(dealt.hint("shuffle_hash") if hashed else dealt, [key, "_salt"]).drop("_salt")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import discard, freed, salted_join, stored, stored_parts, unused
+from shelfwise.llm.common import by_bytes, discard, freed, salted_join, stored, stored_parts, unused
 
 #: A window below SEED_WORDS keeps a seed of those that lie across the point where two pieces meet.
 SEED_WORDS, WINDOW = 6, 4
@@ -62,6 +62,65 @@ class WordHasher:
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: XXH64's primes.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: A-Z in lower case; which bytes aren't blanks.
+LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+IN_WORD = np.array([x != 0x20 and not 0x09 <= x <= 0x0D for x in range(256)])
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``WordHasher``'s hashes of the words of all texts end to end, and each text's number of words.
+
+    XXH64 of all words of one length side by side; words of 32 bytes or more one by one.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.zeros(bounds[-1] - bounds[0] + 8, dtype=np.uint8)  # each word is followed by 8 bytes
+    if len(data) == 8:
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    data[:-8] = LOWER[np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]]
+    bounds -= bounds[0]
+    inside = IN_WORD[data[:-8]]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(inside))]  # a word ends with its text, whatever follows
+    starts[edges], ends[edges - 1] = inside[edges], inside[edges - 1]
+    begin = np.flatnonzero(starts)
+    size = np.flatnonzero(ends) + 1 - begin
+    lanes = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # the 8 bytes from each place on
+    kind = np.minimum(size, 32).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    upto = np.cumsum(np.bincount(kind, minlength=33))
+    found = np.empty(len(begin), dtype=np.uint64)
+    for length in range(1, 32):
+        of = order[upto[length - 1] : upto[length]]
+        if not len(of):
+            continue
+        at = begin[of]
+        h = np.full(len(of), (42 + int(P5) + length) % (1 << 64), dtype=np.uint64)
+        for k in range(length // 8):
+            h = _turned(h ^ _turned(lanes[at + 8 * k] * P2, 31) * P1, 27) * P1 + P4
+        if length % 8:
+            rest = lanes[at + length // 8 * 8]
+            if length & 4:
+                h = _turned(h ^ (rest & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+                rest = rest >> np.uint64(32)
+            for k in range(length & 3):
+                h = _turned(h ^ (rest >> np.uint64(8 * k) & np.uint64(255)) * P5, 11) * P1
+        h = (h ^ h >> np.uint64(33)) * P2
+        h = (h ^ h >> np.uint64(29)) * P3
+        found[of] = h ^ h >> np.uint64(32)
+    for i in order[upto[31] :].tolist():
+        found[i] = xxhash.xxh64_intdigest(data[begin[i] : begin[i] + size[i]].tobytes(), 42)
+    return found, np.diff(np.searchsorted(begin, bounds))
+
+
 def minimizers(flat: np.ndarray, sizes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, hash) of the thinned seeds of texts laid end to end in ``flat``.
 
@@ -128,17 +187,6 @@ def run_hashes(flat: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
     return found.view(np.int64)
 
 
-def _limited(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts (second column) have so many bytes; a longer text is one alone."""
-    for batch in batches:
-        ends = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars, side="right")))
-            yield batch.slice(at, end - at)
-            at = end
-
-
 def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS, parts: int = PARTS) -> DataFrame:
     """(seed, doc_id, place, run, again, part) from (doc_id, text); part is the seed's hash modulo ``parts``.
 
@@ -147,11 +195,8 @@ def seeds(docs: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in _limited(batches):
-            words = [hasher.hashes(t.as_py()) for t in batch.column(1)]
-            sizes = np.array([len(w) for w in words])
-            flat = np.concatenate(words)
+        for batch in by_bytes(batches, 1):
+            flat, sizes = word_hashes(batch.column(1))
             row, place, seed = minimizers(flat, sizes, k, window)
             begin = np.cumsum(sizes) - sizes
             room = place + run_words <= sizes[row]
@@ -235,14 +280,19 @@ def passages(run: list[tuple[int, int]], k: int, max_gap: int = MAX_GAP) -> Iter
             begin = i
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Levenshtein distance by Myers' bit vectors, as wide as what ``a`` keeps between equal ends."""
-    a, b = np.asarray(a), np.asarray(b)
+def _unequal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What two sequences keep between equal ends; their distance is the same."""
     for turn in (1, -1):  # from the beginning, then from the end
         n = min(len(a), len(b))
         apart = np.flatnonzero(a[::turn][:n] != b[::turn][:n])
         same = int(apart[0]) if len(apart) else n
         a, b = (a[same:], b[same:]) if turn == 1 else (a[: len(a) - same], b[: len(b) - same])
+    return a, b
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance by Myers' bit vectors, as wide as what ``a`` keeps between equal ends."""
+    a, b = _unequal(np.asarray(a), np.asarray(b))
     if not len(a) or not len(b):
         return len(a) + len(b)
     a, b = a.tolist(), b.tolist()
@@ -262,6 +312,42 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return score
 
 
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``edit_distance`` of each pair. Pairs whose shorter side keeps no more than 64 words go through Myers' bit vectors side by side, a word a pair."""
+    found, narrow = np.zeros(len(pairs), dtype=np.int64), []
+    for at, (a, b) in enumerate(pairs):
+        a, b = sorted(_unequal(a, b), key=len)
+        if not len(a):
+            found[at] = len(b)
+        elif len(a) <= 64 and len(b) <= 256:
+            narrow.append((len(b), at, a, b))
+        else:
+            found[at] = edit_distance(a, b)
+    if not narrow:
+        return found
+    narrow.sort(key=lambda x: -x[0])  # those that go on are always the first ones
+    m, at = (np.array([x[i] for x in narrow]) for i in (0, 1))
+    n = np.array([len(x[2]) for x in narrow])
+    a, b = np.zeros((len(narrow), 64), dtype=narrow[0][2].dtype), np.zeros((m[0], len(narrow)), dtype=narrow[0][3].dtype)
+    for i, (size, _, x, y) in enumerate(narrow):
+        a[i, : len(x)], b[:size, i] = x, y
+    one = np.uint64(1)
+    full = np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - n).astype(np.uint64)
+    top = one << (n - 1).astype(np.uint64)
+    up, down, score = full.copy(), np.zeros(len(narrow), dtype=np.uint64), n.copy()
+    for j in range(m[0]):
+        k = int(np.searchsorted(-m, -j))  # the pairs with more than j words
+        f, t, u, w = full[:k], top[:k], up[:k], down[:k]
+        eq = np.packbits(a[:k] == b[j, :k, None], axis=1, bitorder="little").view("<u8")[:, 0] & f
+        d = (((eq & u) + u) ^ u) | eq | w
+        plus, minus = w | ~(d | u) & f, u & d
+        score[:k] += ((plus & t) != 0).astype(np.int64) - ((minus & t) != 0)
+        plus, minus = plus << one | one, minus << one
+        up[:k], down[:k] = (minus | ~(d | plus)) & f, plus & d & f
+    found[at] = score
+    return found
+
+
 def widened_many(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, cost: float, band: int = BAND, drop: int = DROP) -> tuple[np.ndarray, np.ndarray]:
     """How many words of each row of ``a`` and ``b``, of n and m words, belong together from their beginnings on.
 
@@ -303,13 +389,15 @@ def widened(a: list[int], b: list[int], band: int = BAND, drop: int = DROP, cost
     return int(used[0]), int(other[0])
 
 
-def _ends(words: list[np.ndarray], cuts: list[int], turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """What lies before each cut, backwards (turn -1), or from it on: a matrix of MARGIN words a row at most, and their numbers."""
-    sides = [(w[:c][::-1] if turn < 0 else w[c:])[:MARGIN] for w, c in zip(words, cuts, strict=True)]
-    found = np.zeros((len(words), MARGIN), dtype=np.int64)
-    for i, x in enumerate(sides):
-        found[i, : len(x)] = x
-    return found, np.array([len(x) for x in sides])
+def _ends(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, cut: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """What lies before each cut, backwards (turn -1), or from it on: a matrix of MARGIN words a row at most, and their numbers.
+
+    Rows lie end to end in ``flat``, from begin to end each; a cut is a place there.
+    """
+    steps = np.arange(MARGIN)
+    size = np.minimum(cut - begin if turn < 0 else end - cut, MARGIN)
+    at = cut[:, None] + (-1 - steps if turn < 0 else steps)
+    return np.where(steps < size[:, None], flat[np.clip(at, 0, len(flat) - 1)], 0), size
 
 
 def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW, run_words: int = MIN_WORDS) -> DataFrame:
@@ -324,7 +412,7 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     for found in parts:
         firsts = stored(found.groupBy("seed").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", "doc_id").alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "firsts")
         freed(spark)
-        kept = stored(salted_join(found, firsts, "seed", "n", "doc_id").select("doc_id", "place", "run", "again", "ref_id", "ref_place"), "met")
+        kept = stored(salted_join(found, firsts, "seed", "n", "doc_id", hashed=True).select("doc_id", "place", "run", "again", "ref_id", "ref_place"), "met")
         tables.append(kept)
         met = kept if met is None else met.union(kept)
         for t in (found, firsts):
@@ -335,7 +423,7 @@ def matched_places(texts: DataFrame, k: int = SEED_WORDS, window: int = WINDOW,
     first = F.when(~F.col("again"), F.col("doc_id"))
     by_run = stored(runs.groupBy("run").agg(F.min("doc_id").alias("ref_id"), F.min_by("place", first).alias("ref_place"), F.count("*").alias("n")).filter("n > 1"), "runs")
     # most runs lead where their seeds lead
-    others = salted_join(runs.select("run", "doc_id", "place", F.col("ref_id").alias("known")), by_run, "run", "n", "doc_id").filter("ref_id <> known")
+    others = salted_join(runs.select("run", "doc_id", "place", F.col("ref_id").alias("known")), by_run, "run", "n", "doc_id", hashed=True).filter("ref_id <> known")
     columns = ["doc_id", "place", "ref_id", "ref_place"]
     matches = met.select(*columns).union(others.select(*columns)).filter("doc_id <> ref_id")
     matches._made_of = [*tables, by_run]
@@ -387,59 +475,65 @@ def _slices(texts: DataFrame, sides: DataFrame, margin: int) -> DataFrame:
     """(id, lo, hi, weight, words, from): 32 bits of the word hashes of each asked range with a margin; from: where they begin. ``sides``: (id, lo, hi, weight), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            ranges, parts, lows = batch.column(1), [np.empty(0, dtype=np.int32)], []
+        for batch in by_bytes(batches, 2):
+            ranges = batch.column(1)
             sizes = pa.compute.list_value_length(ranges).to_numpy(zero_copy_only=False)
             flat = ranges.flatten()
             lo, hi, weight = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "weight"))
-            at = 0
-            for size, text in zip(sizes.tolist(), batch.column(2), strict=True):
-                short = hasher.hashes(text.as_py()).astype(np.uint32).view(np.int32)
-                for low, high in zip(np.maximum(lo[at : at + size] - margin, 0).tolist(), hi[at : at + size].tolist(), strict=True):
-                    parts.append(short[low : high + margin])
-                    lows.append(low)
-                at += size
+            hashes, words = word_hashes(batch.column(2))
+            begin = np.repeat(np.cumsum(words) - words, sizes)
+            low = np.maximum(lo - margin, 0)
+            length = np.minimum(hi + margin, np.repeat(words, sizes)) - low
+            ends = np.cumsum(length)
+            at = np.arange(ends[-1]) + np.repeat(begin + low - (ends - length), length)
             own = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes), pa.int64()))
-            lo, hi, weight, low = (pa.array(x, pa.int64()) for x in (lo, hi, weight, lows))
-            ends = np.cumsum([len(x) for x in parts])
-            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([own, lo, hi, weight, words, low], names=["id", "lo", "hi", "weight", "words", "from"])
+            lo, hi, weight, low = (pa.array(x, pa.int64()) for x in (lo, hi, weight, low))
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(hashes[at].astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([own, lo, hi, weight, found, low], names=["id", "lo", "hi", "weight", "words", "from"])
 
     asked = sides.groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("ranges"))
     joined = asked.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     return joined.select("id", "ranges", "text").mapInArrow(run, "id long, lo long, hi long, weight long, words array<int>, from long")
 
 
+def _laid_out(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of all lists end to end, and where each list begins and ends there."""
+    end = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.append(0, end[:-1])[: len(end)], end
+
+
 def _aligned(rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     names = ["doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "edits"]
     allowed = round((1 - min_identity) * 10**9)  # in integers: 1 - 0.8 is a little less than a fifth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            d, s, e, r, rs, re_, _, a0, _, b0 = (c.to_pylist() if i not in (6, 8) else None for i, c in enumerate(batch.columns))
-            a, b = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (6, 8))
-            s, e, rs, re_ = ([x - y for x, y in zip(v, w, strict=True)] for v, w in ((s, a0), (e, a0), (rs, b0), (re_, b0)))
-            sides = [(*_ends(a, s, -1), *_ends(b, rs, -1)), (*_ends(a, e, 1), *_ends(b, re_, 1))]
-            waiting = {EDIT_COST: list(range(batch.num_rows))}
+            d, s, e, r, rs, re_, a0, b0 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 5, 7, 9))
+            (a, a_begin, a_end), (b, b_begin, b_end) = (_laid_out(batch.column(i)) for i in (6, 8))
+            # from here on places in a and b
+            s, e, rs, re_ = s - a0 + a_begin, e - a0 + a_begin, rs - b0 + b_begin, re_ - b0 + b_begin
+            sides = [(*_ends(a, a_begin, a_end, s, -1), *_ends(b, b_begin, b_end, rs, -1)), (*_ends(a, a_begin, a_end, e, 1), *_ends(b, b_begin, b_end, re_, 1))]
+            waiting, out = {EDIT_COST: np.arange(batch.num_rows)}, [np.empty((0, len(names)), dtype=np.int64)]
+            put = lambda cost, rows: waiting.update({cost: np.append(waiting.get(cost, rows[:0]), rows)})
             while waiting:
                 cost, rows = waiting.popitem()
                 (i, j), (u, v) = (widened_many(x[rows], y[rows], n[rows], m[rows], cost) for x, n, y, m in sides)
-                for at, row in enumerate(rows):
-                    size = e[row] + u[at] - s[row] + i[at]
-                    if size < min_words:
-                        # a range that is just too short may end in few equal words behind an edit
-                        if cost == EDIT_COST and 2 * size >= min_words:
-                            waiting.setdefault(0.5, []).append(row)
-                        continue
-                    lo, hi, rlo, rhi = s[row] - i[at], e[row] + u[at], rs[row] - j[at], re_[row] + v[at]
-                    edits = edit_distance(a[row][lo:hi], b[row][rlo:rhi])
-                    if edits * 10**9 <= allowed * max(size, rhi - rlo):
-                        out.append((d[row], a0[row] + lo, a0[row] + hi, r[row], b0[row] + rlo, b0[row] + rhi, edits))
-                    elif cost in DEARER:  # ends that take too many edits in are looked for again, last over equal words only
-                        waiting.setdefault(DEARER[cost], []).append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
+                lo, hi, rlo, rhi = s[rows] - i, e[rows] + u, rs[rows] - j, re_[rows] + v
+                size = hi - lo
+                long = size >= min_words
+                # a range that is just too short may end in few equal words behind an edit
+                if cost == EDIT_COST and len(short := rows[~long & (2 * size >= min_words)]):
+                    put(0.5, short)
+                rows, lo, hi, rlo, rhi, size = (x[long] for x in (rows, lo, hi, rlo, rhi, size))
+                edits = edit_distances([(a[w:x], b[y:z]) for w, x, y, z in zip(lo.tolist(), hi.tolist(), rlo.tolist(), rhi.tolist(), strict=True)])
+                alike = edits * 10**9 <= allowed * np.maximum(size, rhi - rlo)
+                to_a, to_b = (a0 - a_begin)[rows], (b0 - b_begin)[rows]
+                out.append(np.column_stack((d[rows], lo + to_a, hi + to_a, r[rows], rlo + to_b, rhi + to_b, edits))[alike])
+                # ends that take too many edits in are looked for again, last over equal words only
+                if cost in DEARER and not alike.all():
+                    put(DEARER[cost], rows[~alike])
+            whole = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(whole[:, i], pa.int64()) for i in range(len(names))], names=names)
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
